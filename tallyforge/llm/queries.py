@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.mixing import Mixture
 from tallyforge.llm.packing import fill_report, pack
+from tallyforge.llm.toxicity import THRESHOLD, rates, score
 from tallyforge.session import table
 
 
@@ -46,6 +47,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report().where(~F.col("target_met")).select("source")
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its score and the evidence for it."""
+    return score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged documents per source."""
+    return rates(p8_scores(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
