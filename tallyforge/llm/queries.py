@@ -61,6 +61,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").cast("bigint").alias("doc_id"))
 
 
+#: None of these is checked by SQL: tokens and neighbours have no SQL form (tests compare with brute force).
+ORACLE_SQL: dict[str, str] = {}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
