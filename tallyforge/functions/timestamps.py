@@ -12,7 +12,7 @@ known when it is built, so the broadcast is checked; beyond ``BROADCAST_ROWS`` t
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,13 @@ def zone_intervals(zones: list[str], first_year: int, last_year: int) -> tuple[l
     return exploded, [x for x in sorted(names) if x[1].isalpha()]
 
 
+def zone_exists(zone: str | None) -> bool:
+    try:
+        return bool(zone) and ZoneInfo(zone) is not None
+    except (ZoneInfoNotFoundError, ValueError, OSError):
+        return False
+
+
 class TimestampParser:
     """Parses text columns of tables that name a feed.
 
@@ -87,7 +94,9 @@ class TimestampParser:
         if len(rows) > MAX_FEEDS:
             raise ValueError(f"more than {MAX_FEEDS} feeds")
         self.years = years
-        exploded, names = zone_intervals([r.time_zone for r in rows if r.time_zone], *years)
+        # a feed given twice counts once; a zone that doesn't exist is an unknown one
+        rows = list({r.feed: r for r in sorted(rows, key=str) if r.feed is not None}.values())
+        exploded, names = zone_intervals([r.time_zone for r in rows if zone_exists(r.time_zone)], *years)
         abbreviations: dict[str, list] = {}
         for zone, name, offset in names:
             abbreviations.setdefault(zone, []).append((name, offset))
@@ -113,13 +122,14 @@ class TimestampParser:
         zone or day order is unknown because the feed is) or ``ok``. kind: ``date`` (no time: the day itself), ``epoch``,
         ``zoned`` (zone or offset in the text) or ``local``. issue: ``gap`` or ``fold`` of local times; a skipped time is read
         with the offset before the change, a repeated one as its first occurrence. Works on null, empty and very long
-        texts; columns of ``df`` are kept, names starting with ``_`` are reserved.
+        texts; all columns of ``df`` are kept, whatever their names, but for one that is called ``out``, which is replaced.
         """
         lo_year, hi_year = self.years
-        keep = df.columns
-        df = self.with_feed(df, feed)
-        raw = F.substring(F.upper(strip(F.col(text))), 1, 120)  # no spelling is longer; a longer text is no date
-        df = df.withColumn("_missing", is_missing(F.col(text), F.col("_token"))).withColumn("_t", F.when(~F.col("_missing"), raw))
+        keep = [c for c in df.columns if c != out]
+        df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{feed}`").alias("_of"))
+        df = self.with_feed(df, "_of")
+        raw = F.substring(F.upper(strip(F.col("_text"))), 1, 120)  # no spelling is longer; a longer text is no date
+        df = df.withColumn("_missing", is_missing(F.col("_text"), F.col("_token"))).withColumn("_t", F.when(~F.col("_missing"), raw))
         parts = F.split(F.regexp_replace("_t", PATTERN, SEP + SEP.join(f"${i}" for i in range(1, 26))), SEP)
         df = df.withColumn("_p", F.when(F.length("_t") < 120, parts)).withColumn("_match", F.size("_p") == 26)
         g = lambda i: F.when(F.col("_match"), F.nullif(F.get("_p", F.lit(i)), F.lit("")))
@@ -196,7 +206,7 @@ class TimestampParser:
             F.when(ok, F.col("_date")).alias("written_day"),
             F.coalesce(ok & F.col("_kind").isin("zoned", "local") & (utc_day != F.col("_date")), F.lit(False)).alias("day_shift"),
         )
-        return joined.withColumn(out, result).select(*keep, out)
+        return joined.select(*[F.col("_row").getField(c).alias(c) for c in keep], result.alias(out))
 
 
 def issues(ts: str) -> Column:

@@ -33,12 +33,15 @@ def fill_over_time(
     entity keep null and method null. Ties between two equally near categories go to the earlier one; the most frequent value is the smallest of those
     with the highest count.
     """
-    keep = df.columns
-    seconds = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(1e6), F.lit(0.0))
-    df = df.withColumn("_s", seconds).withColumn("_block", F.floor(F.col("_s") / block_seconds))
     columns = [*numeric, *categorical]
+    keep = [c for c in df.columns if c not in {f"{c}_{x}" for c in columns for x in ("value", "filled", "method", "distance")}]
+    seconds = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(1e6), F.lit(0.0))
+    cells = [x for c in columns for x in ((numeric | categorical)[c].alias(f"_v_{c}"), missing[c].alias(f"_m_{c}"))]
+    # columns of the input travel as one struct, so none of their names can clash
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{entity}`").alias("_entity"), F.col(f"`{tie}`").alias("_tie"), seconds.alias("_s"), *cells)
+    df = df.withColumn("_block", F.floor(F.col("_s") / block_seconds))
+    entity, tie = "_entity", "_tie"
     for c in columns:
-        df = df.withColumn(f"_v_{c}", (numeric | categorical)[c]).withColumn(f"_m_{c}", missing[c])
         df = df.withColumn(f"_o_{c}", F.when(F.col(f"_v_{c}").isNotNull(), F.struct(F.col("_s").alias("s"), F.col(f"_v_{c}").alias("v"))))
     base = df
     inside = Window.partitionBy(entity, "_block").orderBy("_s", tie)
@@ -85,4 +88,4 @@ def fill_over_time(
             F.when(fill_it, method).alias(f"{c}_method"),
             F.when(fill_it, near).alias(f"{c}_distance"),
         ]
-    return df.select(*keep, *out)
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in keep], *out)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from tallyforge.functions.values import finite, strip
 
 FOLDS = 2
 BANDS = 4
+#: Columns judged together: a load then has at most (BANDS + 1) ** JOINT * FOLDS cells, however many rows; wider tables are judged in groups.
+JOINT = 4
 #: Standard errors of sampling noise by which the discrimination may stay below the bound before a column is no candidate.
 SLACK = 5.0
 #: Accepted profiles collected to the driver; one row per column.
@@ -171,13 +174,24 @@ def discrimination(df: DataFrame, load: str, fold_key: str, baselines: dict[str,
     A column is a candidate when its cross-fitted discrimination reaches the least one that a band share off by band_limit implies
     (the ROC curve then passes a point with that difference, so the area is at least (1 + limit) / 2), less SLACK standard errors.
     """
-    use = [b for b in baselines.values() if b.numeric and b.band_limit is not None and None not in b.bands and None not in b.q]
-    names = [b.column_name for b in use]
-    shares = {b.column_name: b.bands for b in use}
-    limits = {b.column_name: b.band_limit for b in use}
+    use = judged(baselines)
+    parts = [_discrimination(df, load, fold_key, use[i : i + JOINT]) for i in range(0, len(use), JOINT)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def judged(baselines: dict[str, Baseline]) -> list[Baseline]:
+    """The columns whose accepted profile has bands and a limit for them."""
+    return [b for b in baselines.values() if b.numeric and b.band_limit is not None and None not in b.bands and None not in b.q]
+
+
+def _discrimination(df: DataFrame, load: str, fold_key: str, use: list[Baseline]) -> DataFrame:
+    names = [f"c{i}" for i in range(len(use))]
+    shares = {k: b.bands for k, b in zip(names, use)}
+    limits = {k: b.band_limit for k, b in zip(names, use)}
+    called = {k: b.column_name for k, b in zip(names, use)}
     fold = F.pmod(F.xxhash64(F.coalesce(F.col(fold_key).cast("bigint"), F.lit(0))), F.lit(FOLDS)).cast("int")
     cells = (
-        df.select(F.col(load).cast("bigint").alias("load_id"), fold.alias("fold"), *[F.coalesce(band_of(finite(F.col(b.column_name)), b), F.lit(0)).alias(b.column_name) for b in use])
+        df.select(F.col(load).cast("bigint").alias("load_id"), fold.alias("fold"), *[F.coalesce(band_of(finite(F.col(b.column_name)), b), F.lit(0)).alias(k) for k, b in zip(names, use)])
         .groupBy("load_id", "fold", *names).agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -186,7 +200,7 @@ def discrimination(df: DataFrame, load: str, fold_key: str, baselines: dict[str,
         rows = []
         for c, n, alone, together, without in _two_sample(group, names, shares):
             least = (1 + limits[c]) / 2 - SLACK / math.sqrt(max(n, 1))
-            rows.append((None if pd.isna(load_id) else int(load_id), c, alone, together, without, alone >= least))
+            rows.append((None if pd.isna(load_id) else int(load_id), called[c], alone, together, without, alone >= least))
         return pd.DataFrame(rows, columns=["load_id", "column_name", "auc_alone", "auc_all", "auc_without", "candidate"]).astype({"load_id": "Int64"})
 
     return cells.groupBy("load_id").applyInPandas(test, "load_id bigint, column_name string, auc_alone double, auc_all double, auc_without double, candidate boolean")
@@ -198,7 +212,7 @@ def load_profile(df: DataFrame, load: str, row_key: str, baselines: dict[str, Ba
         raise ValueError("no accepted profile for this table")
     table = next(iter(baselines.values())).table_name
     base = base_aggregates(df, load, baselines)
-    if any(b.numeric and b.band_limit is not None for b in baselines.values()):
+    if judged(baselines):
         base = base.alias("b").join(discrimination(df, load, row_key, baselines).alias("d"), F.col("b.load_id").eqNullSafe(F.col("d.load_id")) & (F.col("b.column_name") == F.col("d.column_name")), "left")
         base = base.select("b.*", "d.auc_alone", "d.auc_all", "d.auc_without", "d.candidate")
     else:
