@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 32
+#: Share of its idf with which a term that no example has lengthens a query (0: it is dropped).
+UNKNOWN = 0.4
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +34,7 @@ class BlockMaxIndex:
         kept = sorted(t for t, c in df.items() if c >= least)
         self.vocabulary = {t: i for i, t in enumerate(kept)}
         self.idf = np.log((1 + n) / (1 + np.array([df[t] for t in kept], float))) + 1 if kept else np.zeros(0)
-        self.rest = float(np.log(1 + n) + 1)  # idf of a term that no example has; it lengthens the query vector
+        self.rest = UNKNOWN * float(np.log(1 + n) + 1)  # weight of a term that no example has; it lengthens the query vector
         self.n, self.n_blocks = n, -(-n // BLOCK)
         ids, terms, weights = [], [], []
         for i, r in enumerate(rows):

@@ -2,8 +2,8 @@
 
 Texts are judged by segments (sentences, lines, and overlapping windows of longer sentences), as a few hostile words
 may stand in a long harmless text. Labelled documents only say that *some* segment is toxic, so their segments are first weighed against each
-other: a segment of a toxic document counts as toxic if the votes of its neighbours in other documents say so, or if nothing like it
-occurs in documents judged harmless. Every segment of the corpus then gets the distance-weighted vote of its nearest examples, found
+other: a segment of a toxic document counts as toxic if the votes of its neighbours in other documents say so; where a toxic document has none, the segment least
+like harmless ones is taken with less trust. Every segment of the corpus then gets the distance-weighted vote of its nearest examples, found
 through block-max inverted indexes; a document has the vote of its highest segment, turned into a probability by a logistic curve fitted to
 leave-one-document-out votes.
 
@@ -35,25 +35,28 @@ POWER = 4
 #: Added to the sum of weights, so that far neighbours alone give no high vote.
 DAMPING = 0.02
 WINDOW, STRIDE, LONG_SEGMENT = 7, 3, 9
-#: A segment of a toxic document whose likeness to every harmless document's segments stays below this is toxic itself.
-NOVEL, NOVEL_BEST = 0.35, 0.5
+#: Likeness to every harmless document's segments below which a segment counts as new, and the toxicity such a segment of a toxic document gets.
+NOVEL, NOVEL_TRUST = 0.45, 0.7
+#: Largest share of toxic documents in a corpus. It bounds from below which part of them is labelled, and so how many documents with a toxic segment
+#: should be; a segment with fewer than half of that is a common harmless one.
+MOST_TOXIC = 0.05
 THRESHOLD = 0.5
 BATCH = 64
 CACHE = 400_000
 CATEGORIES = ["abusive", "hateful", "sexual"]
 
 
+def segment_units(segment: str) -> list[tuple[str, ...]]:
+    """The words of a segment, and of windows over it if it is long."""
+    w = tuple(words(fold(segment)))
+    if len(w) <= LONG_SEGMENT:
+        return [w] if w else []
+    return [w, *(w[a : a + WINDOW] for a in range(0, len(w) - WINDOW + STRIDE, STRIDE))]
+
+
 def units(text: str | None) -> list[tuple[str, ...]]:
-    """Word tuples of all segments of a text, and of windows over long segments."""
-    out = []
-    for s in segments(text):
-        w = tuple(words(fold(s)))
-        if not w:
-            continue
-        out.append(w)
-        if len(w) > LONG_SEGMENT:
-            out += [w[a : a + WINDOW] for a in range(0, len(w) - WINDOW + STRIDE, STRIDE)]
-    return out
+    """Units of all segments of a text."""
+    return [u for s in segments(text) for u in segment_units(s)]
 
 
 def _search(index: BlockMaxIndex, rows: list[tuple[str, ...]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +103,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * (vote - self.middle)))))
 
 
-def fit(docs: list[tuple[int, str, float, str]]) -> Model:
-    """From (doc_id, text, share of verdicts that say toxic, category) of the labelled sample."""
+def candidates(docs: list[tuple[int, str, float, str]]) -> list[tuple[str, ...]]:
+    """Units of the documents labelled toxic: all that a toxic example can come from."""
+    return sorted({u for d in docs if d[2] > 0.75 for u in units(d[1])})
+
+
+def fit(docs: list[tuple[int, str, float, str]], counts: dict[tuple, int] | None = None, corpus: int = 0) -> Model:
+    """From (doc_id, text, share of verdicts that say toxic, category) of the labelled sample.
+
+    ``counts`` gives for the candidates how many of all ``corpus`` documents hold them: harmless sentences are held by many that nobody labelled toxic.
+    """
     docs = [d for d in docs if d[2] < 0.25 or d[2] > 0.75]  # verdicts that contradict each other say nothing
     own: dict[tuple, set[int]] = {}
     whole: set[tuple] = set()
@@ -121,20 +132,29 @@ def fit(docs: list[tuple[int, str, float, str]]) -> Model:
     sims = np.where(ids >= 0, sims, 0.0)
     harmless_near = np.where(self_ | (pos[ids] == n[ids]), 0.0, sims).max(1)
     only = (pos > 0) & (pos == n)
+    if counts and corpus:
+        labelled_part = min(1.0, toxic_doc.sum() / (MOST_TOXIC * corpus))
+        common = pos < 0.5 * labelled_part * np.array([max(counts.get(k, 0), m) for k, m in zip(keys, n)])
+        only &= ~common
+    else:
+        common = np.zeros(len(keys), bool)
     is_whole = np.array([k in whole for k in keys])
-    share = pos / n
+    share = np.where(common, 0.0, pos / n)
     y = share.copy()
-    w = np.where(self_, np.maximum(n - 1, 0)[:, None], np.minimum(n[ids], 3)) * sims**POWER
+    # a neighbour counts by the documents it is in besides those of the segment itself
+    others = np.array([[len(own[keys[j]] - own[k]) if j >= 0 else 0 for j in row] for k, row in zip(keys, ids.tolist())], float)
+    w = np.where(self_, np.maximum(n - 1, 0)[:, None], np.minimum(others, 3)) * sims**POWER
     for _ in range(3):
         vote = (w * np.where(self_, share[:, None], y[ids])).sum(1) / (w.sum(1) + DAMPING)
-        new = np.where(only, (vote >= 0.5) | (is_whole & (harmless_near < NOVEL)), (share > 0.5) & (vote > 0.5)).astype(float)
-        least: dict[int, int] = {}  # of a toxic document without a toxic segment, the one least like harmless ones
+        new = np.where(only, vote >= 0.5, (share > 0.5) & (vote > 0.5) & ~common).astype(float)
+        # a toxic document without such a segment: the one least like harmless ones, if it is new, with less trust
         have = {i for k in np.flatnonzero(new > 0) for i in own[keys[k]]}
-        for k in np.flatnonzero(only & is_whole & (harmless_near < NOVEL_BEST)):
+        least: dict[int, int] = {}
+        for k in np.flatnonzero(only & is_whole & (harmless_near < NOVEL)):
             for i in own[keys[k]]:
                 if i not in have and (i not in least or harmless_near[k] < harmless_near[least[i]]):
                     least[i] = k
-        new[list(least.values())] = 1.0
+        new[list(least.values())] = NOVEL_TRUST
         y = new
     # documents judged harmless that hold what is toxic elsewhere, and contested segments, are no examples of harmlessness
     keep = ~((y == 0) & (vote > 0.8) & (pos < n))
@@ -195,6 +215,33 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int =
     return sorted((r.doc_id, r.text, r.share, r.kind or "none") for r in rows)
 
 
+def corpus_counts(documents: DataFrame, wanted: list[tuple[str, ...]]) -> tuple[dict[tuple, int], int]:
+    """Of all documents, how many hold each wanted unit, and how many there are. Added up on the workers; as many rows come back as are wanted."""
+    shared = documents.sparkSession.sparkContext.broadcast({u: i for i, u in enumerate(wanted)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n, docs = shared.value, np.zeros(len(wanted), np.int64), 0
+        seen: dict[str, list] = {}
+        for b in batches:
+            docs += b.num_rows
+            for text in b.column(0).to_pylist():
+                hits: set[int] = set()
+                for s in segments(text):
+                    if s not in seen:
+                        if len(seen) > CACHE:
+                            seen.clear()
+                        seen[s] = [place[u] for u in segment_units(s) if u in place]
+                    hits.update(seen[s])
+                for i in hits:
+                    n[i] += 1
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, there]), pa.array(np.r_[docs, n[there]])], names=["unit", "docs"])
+
+    rows = documents.select("text").mapInArrow(run, "unit bigint, docs bigint").groupBy("unit").agg(F.sum("docs").alias("docs")).collect()
+    got = {r.unit: r.docs for r in rows}
+    return {u: got.get(i, 0) for i, u in enumerate(wanted)}, got.get(-1, 0)
+
+
 def score(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per document: doc_id, source, score (probability), vote, category, segment, example_doc_id, example, similarity.
 
@@ -202,7 +249,9 @@ def score(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     carried along.
     """
     sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast(fit(labelled_sample(documents, labels, max_labelled)))
+    sample = labelled_sample(documents, labels, max_labelled)
+    wanted = candidates(sample)
+    shared = sc.broadcast(fit(sample, *corpus_counts(documents, wanted)) if wanted else Model())
     source = documents.select("doc_id", "source", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
