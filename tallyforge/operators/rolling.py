@@ -24,9 +24,8 @@ def daily_totals(rows: DataFrame, entity: str, day: str, cents: str, entry: str
     """
     base = rows.select(F.col(entity).alias("entity"), F.col(day).alias("day"), F.coalesce(F.col(cents), F.lit(0)).cast("bigint").alias("cents"), *([F.col(entry).alias("entry")] if entry else []))
     if entry:
-        known = base.where(F.col("entry").isNotNull())
-        once = known.groupBy("entry").agg(F.min(F.struct("day", "entity", "cents")).alias("r")).select("r.entity", "r.day", "r.cents")
-        base = once.unionByName(base.where(F.col("entry").isNull()).drop("entry"))
+        alone = F.when(F.col("entry").isNull(), F.monotonically_increasing_id())
+        base = base.groupBy("entry", alone.alias("alone")).agg(F.min(F.struct("day", "entity", "cents")).alias("r")).select("r.entity", "r.day", "r.cents")
     base = base.where(F.col("entity").isNotNull() & F.col("day").isNotNull())
     return base.groupBy("entity", "day").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("entries"))
 

@@ -35,7 +35,10 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyforge-"))
     return df.checkpoint(eager=True)
 
 
