@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from tallyforge.functions.timestamps import DAY, MONTH_ALIASES, MONTHS, PATTERN, zone_intervals
 from tallyforge.functions.values import MISSING_WORDS
 
+#: Zones of the feed table, for the interval table written into the SQL (SQL without time zone data can't make it).
+ZONES = ["America/New_York", "Europe/Berlin", "Asia/Kolkata", "Australia/Sydney", "UTC", "America/Sao_Paulo", "Europe/London", "America/Chicago"]
+YEARS = (2021, 2025)
+
 _WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in MISSING_WORDS)
 
 
@@ -21,6 +26,77 @@ def number(c: str) -> str:
     return f"CASE WHEN regexp_full_match({t}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(TRY_CAST({t} AS DOUBLE)) THEN TRY_CAST({t} AS DOUBLE) END"
 
 
+def _interval_rows() -> tuple[str, str]:
+    exploded, names = zone_intervals(ZONES, *YEARS)
+    spans = sorted({(zone, a, b, off) for zone, _, near in exploded for a, b, off in near})
+    return ", ".join(f"('{z}', {a}, {b}, {off})" for z, a, b, off in spans), ", ".join(f"('{z}', '{n}', {off})" for z, n, off in names)
+
+
+_SPANS, _NAMES = _interval_rows()
+_GROUPS = ", ".join(f"'a{i}'" for i in range(1, 26))
+_MONTH_CASE = "CASE substr(coalesce(nullif(g.a11, ''), g.a13), 1, 3) " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in [*((m, i + 1) for i, m in enumerate(MONTHS)), *MONTH_ALIASES.items()]) + " END"
+
+
+def _int(i: int) -> str:
+    return f"TRY_CAST(nullif(g.a{i}, '') AS INTEGER)"
+
+
+def dates(source: str) -> str:
+    """CTEs that end in ``stamped`` (k, status, kind, issue, utc_us, utc_day, day_shift, text) from ``source``, a query of (k, text, feed)."""
+    offset = (
+        f"CASE WHEN g.a24 IN ('Z', 'UTC', 'GMT', 'UT') THEN 0 WHEN regexp_matches(g.a24, '^[+-]') THEN CASE WHEN TRY_CAST(substr(zd, 1, 2) AS INTEGER) <= 18 AND COALESCE(TRY_CAST(nullif(substr(zd, 3, 2), '') AS INTEGER), 0) < 60 "
+        f"THEN (CASE WHEN g.a24 LIKE '-%' THEN -1 ELSE 1 END) * (TRY_CAST(substr(zd, 1, 2) AS INTEGER) * 3600 + COALESCE(TRY_CAST(nullif(substr(zd, 3, 2), '') AS INTEGER), 0) * 60) END "
+        f"ELSE (SELECT MIN(off) FROM abbreviations x WHERE x.zone = time_zone AND x.name = g.a24) END"
+    )
+    return f"""
+spans(zone, s, e, off) AS (VALUES {_SPANS}), abbreviations(zone, name, off) AS (VALUES {_NAMES}),
+src AS ({source}),
+trimmed AS (SELECT k, text, time_zone, day_first, {missing('text', 'null_token')} AS gone, upper({strip('text')}) AS t FROM src LEFT JOIN feeds ON src.feed = feeds.feed),
+split AS (SELECT *, CASE WHEN NOT gone AND length(t) < 120 THEN regexp_extract(t, '{PATTERN.replace("'", "''")}', [{_GROUPS}]) END AS g, CASE WHEN NOT gone AND regexp_full_match(t, '[0-9]{{10}}|[0-9]{{13}}') THEN CAST(t AS BIGINT) * CASE WHEN length(t) = 13 THEN 1000 ELSE 1000000 END END AS eus FROM trimmed),
+digits AS (SELECT *, COALESCE({_int(1)}, {_int(6)}, {_int(9)}, {_int(12)}, {_int(15)}, {_int(16)}) AS y, COALESCE({_int(2)}, CASE WHEN day_first THEN {_int(5)} ELSE {_int(4)} END, {_int(8)}, {_MONTH_CASE}, {_int(17)}) AS m,
+    COALESCE({_int(3)}, CASE WHEN day_first THEN {_int(4)} ELSE {_int(5)} END, {_int(7)}, {_int(10)}, {_int(14)}, {_int(18)}) AS d, COALESCE(g.a19, '') <> '' AS timed,
+    CASE WHEN g.a23 = '' THEN {_int(19)} WHEN {_int(19)} BETWEEN 1 AND 12 THEN {_int(19)} % 12 + CASE WHEN g.a23 = 'P' THEN 12 ELSE 0 END END AS hh, {_int(20)} AS mi, COALESCE({_int(21)}, 0) AS ss,
+    COALESCE(TRY_CAST(substr(rpad(nullif(g.a22, ''), 9, '0'), 1, 6) AS BIGINT), 0) AS us, regexp_replace(g.a24, '[^0-9]', '', 'g') AS zd FROM split),
+dated AS (SELECT *, CASE WHEN y BETWEEN {YEARS[0]} AND {YEARS[1]} THEN TRY_CAST(printf('%04d-%02d-%02d', y, m, d) AS DATE) END AS day FROM digits),
+local AS (SELECT *, CASE WHEN NOT timed OR (hh BETWEEN 0 AND 23 AND mi < 60 AND ss < 60) THEN CAST(date_diff('day', DATE '1970-01-01', day) AS BIGINT) * {DAY} + CASE WHEN timed THEN CAST(hh * 3600 + mi * 60 + ss AS BIGINT) * 1000000 + us ELSE 0 END END AS l,
+    CASE WHEN year(make_timestamp(eus)) BETWEEN {YEARS[0]} AND {YEARS[1]} THEN eus END AS epoch, {offset} AS toff FROM dated),
+looked AS (SELECT *, (SELECT COUNT(*) FROM spans WHERE zone = time_zone AND s <= l AND l < e) AS hits, (SELECT FIRST(off ORDER BY s) FROM spans WHERE zone = time_zone AND s <= l AND l < e) AS hit, (SELECT LAST(off ORDER BY e) FROM spans WHERE zone = time_zone AND e <= l) AS before FROM local),
+solved AS (SELECT *, CASE WHEN epoch IS NOT NULL THEN 'epoch' WHEN NOT timed OR timed IS NULL THEN 'date' WHEN g.a24 <> '' OR g.a25 <> '' THEN 'zoned' ELSE 'local' END AS knd, CASE WHEN epoch IS NOT NULL THEN epoch WHEN NOT timed THEN l WHEN g.a24 <> '' THEN l - CAST(toff AS BIGINT) * 1000000 ELSE l - CAST(COALESCE(hit, before) AS BIGINT) * 1000000 END AS u FROM looked),
+stamped AS (SELECT k, text, CASE WHEN gone THEN 'missing' WHEN u IS NOT NULL THEN 'ok' ELSE 'invalid' END AS status, CASE WHEN u IS NOT NULL THEN knd END AS kind, CASE WHEN u IS NOT NULL AND knd = 'local' THEN CASE hits WHEN 0 THEN 'gap' WHEN 2 THEN 'fold' END END AS issue, u AS utc_us,
+    strftime(make_timestamp(u), '%Y-%m-%d') AS utc_day, COALESCE(knd IN ('local', 'zoned') AND CAST(make_timestamp(u) AS DATE) <> day, false) AS day_shift FROM solved)"""
+
+
+_DATED = " UNION ALL ".join(f"SELECT {{'t': '{t}', 'r': row_id}} AS k, {c} AS text, feed FROM {t}" for t, c in (("finance", "date"), ("messy", "order_date"), ("customer_profile", "signup_date")))
+_P2 = f"WITH {dates(_DATED)}"
+_P1 = f"""
+WITH {dates("SELECT {'e': entry_id, 'a': account, 'c': CAST(ROUND(CASE WHEN isfinite(revenue) THEN revenue ELSE 0 END * 100) AS BIGINT)} AS k, date AS text, feed FROM finance")},
+once AS (SELECT k.e AS e, MIN(k.a) AS account, MIN(CAST(utc_day AS DATE)) AS day, MIN(k.c) AS cents FROM stamped WHERE status = 'ok' GROUP BY 1),
+daily AS (SELECT account, day, CAST(SUM(cents) AS BIGINT) AS cents, COUNT(*) AS n FROM once GROUP BY 1, 2),
+bounds AS (SELECT account, MIN(day) AS a, MAX(day) AS b FROM daily GROUP BY 1),
+calendar AS (SELECT account, a, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds),
+every AS (SELECT c.account, c.a, c.day, COALESCE(cents, 0) AS cents, COALESCE(n, 0) AS n FROM calendar c LEFT JOIN daily d ON c.account = d.account AND c.day = d.day),
+rolled AS (SELECT account, a, day, n, CAST(SUM(cents) OVER (PARTITION BY account ORDER BY day ROWS 6 PRECEDING) AS BIGINT) AS c7, CAST(SUM(cents) OVER (PARTITION BY account ORDER BY day ROWS 29 PRECEDING) AS BIGINT) AS c30 FROM every)
+"""
+_F = '("(?:[^"]|"")*"|[^",]*)'
+
+
+def _unquoted(i: int) -> str:
+    return f"CASE WHEN f.f{i} LIKE '\"%' THEN replace(substr(f.f{i}, 2, length(f.f{i}) - 2), '\"\"', '\"') ELSE f.f{i} END"
+
+
+_P3 = f"""
+WITH raw AS (SELECT raw_id, feed, regexp_replace(raw_line, '\\r$', '') AS line FROM messy_raw),
+shaped AS (SELECT *, regexp_full_match(line, '(?s){_F}(?:,{_F})*') AS sound, regexp_replace(line, '"(?:[^"]|"")*"', '', 'g') AS bare FROM raw),
+judged AS (SELECT *, CASE WHEN NOT sound THEN 'quoting' WHEN length(bare) - length(replace(bare, ',', '')) <> 4 OR contains(bare, chr(10)) OR contains(bare, chr(13)) THEN 'column_count' END AS reason FROM shaped),
+fields AS (SELECT raw_id, feed, regexp_extract(line, '(?s)^{_F},{_F},{_F},{_F},{_F}$', ['f1', 'f2', 'f3', 'f4', 'f5']) AS f FROM judged WHERE reason IS NULL),
+cells AS (SELECT raw_id, fields.feed AS feed, null_token, {_unquoted(1)} AS order_id, {_unquoted(2)} AS order_date, {_unquoted(4)} AS revenue FROM fields LEFT JOIN feeds ON fields.feed = feeds.feed),
+{dates("SELECT raw_id AS k, order_date AS text, feed FROM cells")}
+SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL
+UNION ALL SELECT raw_id, 'order_id' FROM cells WHERE NOT {missing('order_id', 'null_token')} AND NOT regexp_full_match({strip('order_id')}, '[+-]?[0-9]+(\\.0*)?')
+UNION ALL SELECT raw_id, 'revenue' FROM cells WHERE NOT {missing('revenue', 'null_token')} AND {number('revenue')} IS NULL
+UNION ALL SELECT k, 'order_date' FROM stamped WHERE status = 'invalid'
+"""
+
 _P5 = f"""
 WITH c AS (SELECT m.row_id, {strip('m.product_id')} AS product, CASE WHEN NOT {missing('m.category', 'f.null_token')} THEN {strip('m.category')} END AS category,
                   CASE WHEN NOT {missing('m.revenue', 'f.null_token')} THEN {number('m.revenue')} END AS revenue
@@ -50,6 +126,11 @@ _SHARE = "(rows - nulls)"
 _LIMITS = "JOIN column_baseline c ON c.table_name = {0}.table_name AND c.column_name = {0}.column_name"
 
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": _P1 + "SELECT account, strftime(day, '%Y-%m-%d') AS day_utc FROM rolled WHERE c30 > 0 AND c7 * 30 > c30 * 21 AND day >= a + INTERVAL 29 DAY",
+    "p1_rolling_totals": _P1 + "SELECT account, strftime(day, '%Y-%m-%d') AS day_utc, n AS entries, c7 / 100 AS total_revenue_7, c30 / 100 AS total_revenue_30, ROUND(c7 / 7e0 / 100, 4) AS average_revenue_7, ROUND(c30 / 30e0 / 100, 4) AS average_revenue_30 FROM rolled",
+    "p2_found": _P2 + " SELECT k.t AS table_name, k.r AS row_id, 'invalid' AS issue FROM stamped WHERE status = 'invalid' UNION ALL SELECT k.t, k.r, issue FROM stamped WHERE issue IS NOT NULL UNION ALL SELECT k.t, k.r, 'day_shift' FROM stamped WHERE day_shift",
+    "p2_normalised": _P2 + " SELECT k.t AS table_name, k.r AS row_id, text, status, kind, issue AS clock_issue, day_shift, utc_us AS utc_micros, utc_day FROM stamped",
+    "p3_found": _P3,
     "p4_base_aggregates": _P4 + "SELECT table_name, column_name, load_id, rows, nulls, distinct_values, min_value, max_value, strays, top_count FROM a UNION ALL SELECT * FROM t",
     "p4_found": _P4 + f"""
 SELECT a.table_name, a.column_name, load_id, 'null_rate' AS issue FROM a {_LIMITS.format('a')} WHERE nulls / rows > null_limit
