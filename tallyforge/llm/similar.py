@@ -55,8 +55,11 @@ class BlockMaxIndex:
         self.cell_max = np.maximum.reduceat(self.post_w, first) if len(first) else np.zeros(0, np.float32)
         self.term_start = np.searchsorted(t[first], np.arange(len(kept) + 1))  # cells of a term
 
-    def search(self, queries: list[dict[str, float]], k: int, probe: int = 6) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores), each queries x k, by falling score; ids are -1 where there are fewer than k examples with a common term."""
+    def search(self, queries: list[dict[str, float]], k: int, floor: float = 0.0, probe: int = 6) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores), each queries x k, by falling score; ids are -1 where fewer than k examples have a score above 0 and of at least ``floor``.
+
+        Blocks whose bound is below ``floor`` are never scored.
+        """
         nq, kk = len(queries), max(1, min(k, self.n))
         ids, scores = np.full((nq, k), -1, np.int64), np.zeros((nq, k))
         if not self.n or not nq:
@@ -74,6 +77,12 @@ class BlockMaxIndex:
         cells, of = _ranges(self.term_start[qt], self.term_start[qt + 1])
         cq, cw, cb = qi[of], qw[of], self.cell_block[cells]
         bound = np.bincount(cq * self.n_blocks + cb, cw * self.cell_max[cells], nq * self.n_blocks).reshape(nq, self.n_blocks) * (1 + 1e-6)
+        open_ = (bound >= floor) & (bound > 0)
+        asked = np.flatnonzero(open_.any(axis=1))
+        if len(asked) < nq:  # go on with the queries that may have a result
+            if len(asked):
+                ids[asked], scores[asked] = self.search([queries[q] for q in asked], k, floor, probe)
+            return ids, scores
         exact = np.zeros((nq, self.n_blocks * BLOCK))
 
         def score(chosen: np.ndarray) -> None:
@@ -86,14 +95,15 @@ class BlockMaxIndex:
         top = np.argpartition(-bound, probe - 1, axis=1)[:, :probe]
         chosen = np.zeros(bound.shape, bool)
         np.put_along_axis(chosen, top, True, axis=1)
+        chosen &= open_
         score(chosen)
         least = -np.partition(-exact, kk - 1, axis=1)[:, kk - 1]
-        rest = ~chosen & (bound > least[:, None])
+        rest = open_ & ~chosen & (bound > least[:, None])
         if rest.any():
             score(rest)
         best = np.argpartition(-exact, kk - 1, axis=1)[:, :kk]
         value = np.take_along_axis(exact, best, axis=1)
         order = np.lexsort((best, -value), axis=1)
         best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
-        ids[:, :kk], scores[:, :kk] = np.where(value > 0, best, -1), value
+        ids[:, :kk], scores[:, :kk] = np.where((value > 0) & (value >= floor), best, -1), np.where(value >= floor, value, 0.0)
         return ids, scores

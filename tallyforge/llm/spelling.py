@@ -30,9 +30,9 @@ def segments(text: str | None) -> list[str]:
 
 def fold(segment: str) -> str:
     """Lower case without accents, invisible characters and look-alikes; numbers and codes become 0; spaced letters are joined."""
-    s = ZERO_WIDTH.sub("", segment)
+    s = segment
     if not s.isascii():
-        s = unicodedata.normalize("NFKD", s)
+        s = unicodedata.normalize("NFKD", ZERO_WIDTH.sub("", s))
         s = "".join(c for c in s if not unicodedata.combining(c))
     s = s.lower()
     if not s.isascii():
@@ -41,13 +41,14 @@ def fold(segment: str) -> str:
     return SPACED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), s)
 
 
+def _letters(word: str) -> str:
+    """A word with digits or signs in it: masks become ``*``, signs for letters the letters."""
+    return MASK.sub("*", word).replace("#", "*").translate(LEET) if any(c.isalpha() for c in word) else word
+
+
 def words(folded: str) -> list[str]:
-    out = []
-    for w in WORD.findall(folded):
-        if not w.isalpha() and w != "0" and any(c.isalpha() for c in w):
-            w = MASK.sub("*", w).replace("#", "*").translate(LEET)
-        out.append(RUN.sub(r"\1", w))
-    return out
+    found = [w if w.isalpha() or w == "0" else _letters(w) for w in WORD.findall(folded)]
+    return RUN.sub(r"\1", " ".join(found)).split(" ") if found else []
 
 
 def features(ws: list[str]) -> dict[str, float]:

@@ -60,7 +60,7 @@ def units(text: str | None) -> list[tuple[str, ...]]:
 
 
 def _search(index: BlockMaxIndex, rows: list[tuple[str, ...]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [index.search([features(list(r)) for r in rows[a : a + BATCH]], k) for a in range(0, len(rows), BATCH)]
+    parts = [index.search([features(list(r)) for r in rows[a : a + BATCH]], k, LEAST_SIMILARITY) for a in range(0, len(rows), BATCH)]
     if not parts:
         return np.zeros((0, k), np.int64), np.zeros((0, k))
     return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
@@ -91,7 +91,7 @@ class Model:
         _, near = _search(self.toxic_only, rows, 1)
         use = np.flatnonzero(near[:, 0] >= LEAST_SIMILARITY)
         ids, sims = _search(self.every, [rows[i] for i in use], NEIGHBOURS)
-        w = np.where((ids >= 0) & (sims >= LEAST_SIMILARITY), sims, 0.0) ** POWER * self.weight[ids]
+        w = np.where(ids >= 0, sims, 0.0) ** POWER * self.weight[ids]
         vote = (w * self.toxic[ids]).sum(1) / (w.sum(1) + DAMPING)
         lead = (w * self.toxic[ids]).argmax(1) if len(ids) else []
         for i, v, k, row, sim in zip(use, vote, lead, ids, sims):

@@ -31,6 +31,8 @@ def test_exact_against_brute_force():
             best = np.sort(want)[::-1][:k]
             assert np.allclose(s, best, atol=1e-5)
             assert all(abs(want[j] - x) < 1e-5 for j, x in zip(i, s) if j >= 0)
+        low = index.search(queries, k, 0.35)[1]
+        assert np.allclose(low, np.where(scores >= 0.35, scores, 0.0), atol=1e-5)
 
 
 def test_empty_index():
