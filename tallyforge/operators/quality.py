@@ -20,6 +20,7 @@ INTEGERS = (ByteType, ShortType, IntegerType, LongType)
 FLOATS = (FloatType, DoubleType, DecimalType)
 NUMERIC_LABELS = ("integer", "float")
 DATE_SAMPLE = 200
+WIDE = 24
 DATE_RATIO, DATE_HINT_RATIO = 0.85, 0.5
 
 
@@ -251,8 +252,17 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     ).select("column_name", "mean", F.col("_q")[1].alias("median"), "std", "min", "max", F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_a, column_b, correlation) for every ordered pair: Pearson over rows where both are there; null without spread. One pass."""
+def correlation_matrix(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
+    """(column_a, column_b, correlation) for every ordered pair: Pearson over rows where both are there; null without spread. One pass.
+
+    Tables of more than ``wide`` columns are added up by pair instead of in one row of aggregates, whose code would grow with the square of the columns.
+    """
+    if len(columns) > wide:
+        cells = F.array(*[F.struct(F.lit(c).alias("k"), col_num(df, c).alias("v")) for c in columns])
+        both = df.select(cells.alias("c")).select("c", F.explode("c").alias("a")).select("a", F.explode("c").alias("b"))
+        x, y = F.when(F.col("b.v").isNotNull(), F.col("a.v")), F.when(F.col("a.v").isNotNull(), F.col("b.v"))
+        facts = both.groupBy(F.col("a.k").alias("column_a"), F.col("b.k").alias("column_b")).agg(F.count(x).alias("n"), F.covar_samp(x, y).alias("c"), F.stddev_samp(x).alias("x"), F.stddev_samp(y).alias("y"))
+        return facts.select("column_a", "column_b", F.when(F.col("n") > 1, F.try_divide("c", F.col("x") * F.col("y"))).alias("correlation"))
     sums, pairs = [], []
     for i, a in enumerate(columns):
         for j, b in enumerate(columns[: i + 1]):

@@ -120,6 +120,8 @@ def test_types_of_odd_columns(spark):
 def test_correlation_without_spread(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, None)], "a double, b double")
     got = {(r.column_a, r.column_b): r.correlation for r in Q.correlation_matrix(df, ["a", "b"]).collect()}
+    wide = {(r.column_a, r.column_b): r.correlation for r in Q.correlation_matrix(df, ["a", "b"], wide=1).collect()}
+    assert wide == pytest.approx(got)
     assert got["a", "b"] is None and got["b", "b"] is None and abs(got["a", "a"] - 1) < 1e-9 and len(got) == 4
 
 
