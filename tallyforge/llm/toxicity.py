@@ -14,6 +14,7 @@ sample. Equal segments are scored once per worker.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,9 +38,11 @@ DAMPING = 0.02
 WINDOW, STRIDE, LONG_SEGMENT = 7, 3, 9
 #: Likeness to every harmless document's segments below which a segment counts as new, and the toxicity such a segment of a toxic document gets.
 NOVEL, NOVEL_TRUST = 0.45, 0.7
-#: Largest share of toxic documents in a corpus. It bounds from below which part of them is labelled, and so how many documents with a toxic segment
-#: should be; a segment with fewer than half of that is a common harmless one.
-MOST_TOXIC = 0.05
+#: A segment is a common harmless one if the labels of the texts holding it are this much less likely for a toxic segment than for a harmless one. Of the
+#: toxic segments at most this share falls below it by chance.
+COMMON_ODDS = 0.02
+#: Part of the verdicts on texts with a toxic segment that say harmless.
+WRONG = 0.05
 THRESHOLD = 0.5
 BATCH = 64
 CACHE = 400_000
@@ -108,18 +111,68 @@ def candidates(docs: list[tuple[int, str, float, str]]) -> list[tuple[str, ...]]
     return sorted({u for d in docs if d[2] > 0.75 for u in units(d[1])})
 
 
+def labelled_part(pos: np.ndarray, neg: np.ndarray, held: np.ndarray, base: float, base_neg: float) -> tuple[float, float]:
+    """How many texts with a toxic segment are labelled toxic and how many are not, as evidence (pseudo-counts) on the part that is labelled.
+
+    ``pos``, ``neg`` and ``held``: of each segment of a text labelled toxic, how many further texts are labelled toxic, harmless, and hold it at all. They are
+    a mixture of harmless segments, whose texts are labelled like any of the corpus (shares ``base`` and ``base_neg``), and toxic ones, whose part is sought by EM
+    from several starts. A word lies in several overlapping units, so that counts are divided by their number.
+    """
+    pos, neg, held = (x[held > 0] for x in (pos, neg, held))
+    if not len(held):
+        return 0.0, 0.0
+    rest = held - pos - neg
+    harmless = pos * math.log(base) + neg * math.log(max(base_neg, 1e-9)) + rest * math.log(max(1 - base - base_neg, 1e-9))
+    best = (-math.inf, 0.0, 0.0)
+    for part in np.geomspace(base, 0.9, 8):
+        mix = 0.5
+        for _ in range(100):
+            toxic = pos * math.log(part) + neg * math.log(part * WRONG) + rest * math.log(1 - part * (1 + WRONG))
+            a, b = toxic + math.log(mix), harmless + math.log(1 - mix)
+            r = np.exp(a - np.logaddexp(a, b))
+            yes, no = float((r * pos).sum()), float((r * (held - pos)).sum())
+            part, mix = min(0.94, max(base, (yes + 0.5) / (yes + no + 1))), min(0.99, max(0.01, float(r.mean())))
+        best = max(best, (float(np.logaddexp(a, b).sum()), yes, no))
+    overlap = WINDOW // STRIDE + 2
+    return best[1] / overlap, best[2] / overlap
+
+
+def common_segments(pos: np.ndarray, neg: np.ndarray, held: np.ndarray, corpus: int, toxic: int, harmless: int) -> np.ndarray:
+    """Which segments are common harmless ones.
+
+    ``pos``, ``neg`` and ``held``: how many distinct texts labelled toxic and harmless hold a segment, and how many do of the ``corpus``, in which ``toxic`` and
+    ``harmless`` texts are labelled. The texts labelled toxic are held against those of the part that is labelled, whatever share of the corpus is toxic.
+    """
+    out = np.zeros(len(pos), bool)
+    at = np.flatnonzero(pos > 0)
+    base, base_neg = toxic / corpus, harmless / corpus
+    if not len(at) or base >= 1:
+        return out
+    p, q = pos[at] - 1, held[at] - 1  # without the text that made it a candidate
+    yes, no = labelled_part(p, neg[at], q, base, base_neg)
+    beta = lambda a, b: math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    odds = np.array([beta(1 + yes + a, 1 + no + b - a) - beta(1 + yes, 1 + no) - a * math.log(base) - (b - a) * math.log(1 - base) for a, b in zip(p, q)])
+    out[at] = (odds < math.log(COMMON_ODDS)) & (p <= q * (1 + yes) / (2 + yes + no))
+    return out
+
+
 def fit(docs: list[tuple[int, str, float, str]], counts: dict[tuple, int] | None = None, corpus: int = 0) -> Model:
     """From (doc_id, text, share of verdicts that say toxic, category) of the labelled sample.
 
-    ``counts`` gives for the candidates how many of all ``corpus`` documents hold them: harmless sentences are held by many that nobody labelled toxic.
+    ``counts`` gives for the candidates how many of all ``corpus`` distinct texts hold them: harmless sentences are held by many that nobody labelled toxic. A
+    segment that is the whole of a text labelled toxic is never taken for one of those.
     """
     docs = [d for d in docs if d[2] < 0.25 or d[2] > 0.75]  # verdicts that contradict each other say nothing
     own: dict[tuple, set[int]] = {}
     whole: set[tuple] = set()
-    for i, (_, text, _, _) in enumerate(docs):
+    alone: set[tuple] = set()
+    for i, (_, text, verdict, _) in enumerate(docs):
         for u in set(units(text)):
             own.setdefault(u, set()).add(i)
-        whole |= {w for s in segments(text) if (w := tuple(words(fold(s))))}
+        parts = {w for s in segments(text) if (w := tuple(words(fold(s))))}
+        whole |= parts
+        if len(parts) == 1 and verdict > 0.5:
+            alone |= parts
     toxic_doc = np.array([d[2] > 0.5 for d in docs], bool)
     keys = sorted(own)
     if not keys or not toxic_doc.any():
@@ -133,8 +186,16 @@ def fit(docs: list[tuple[int, str, float, str]], counts: dict[tuple, int] | None
     harmless_near = np.where(self_ | (pos[ids] == n[ids]), 0.0, sims).max(1)
     only = (pos > 0) & (pos == n)
     if counts and corpus:
-        labelled_part = min(1.0, toxic_doc.sum() / (MOST_TOXIC * corpus))
-        common = pos < 0.5 * labelled_part * np.array([max(counts.get(k, 0), m) for k, m in zip(keys, n)])
+        verdicts: dict[str, list[float]] = {}  # copies of a text count once
+        for _, text, verdict, _ in docs:
+            verdicts.setdefault(text, []).append(verdict)
+        toxic_text = {t: sum(v) > 0.5 * len(v) for t, v in verdicts.items()}
+        held_by = [{docs[i][1] for i in own[k]} for k in keys]
+        p = np.array([sum(toxic_text[t] for t in ts) for ts in held_by], float)
+        m = np.array([len(ts) for ts in held_by], float)
+        toxic_texts = sum(toxic_text.values())
+        common = common_segments(p, m - p, np.maximum([counts.get(k, 0) for k in keys], m), max(corpus, len(toxic_text)), toxic_texts, len(toxic_text) - toxic_texts)
+        common &= ~np.array([k in alone and a > 0.5 * b for k, a, b in zip(keys, p, m)])
         only &= ~common
     else:
         common = np.zeros(len(keys), bool)
@@ -216,15 +277,21 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int =
 
 
 def corpus_counts(documents: DataFrame, wanted: list[tuple[str, ...]]) -> tuple[dict[tuple, int], int]:
-    """Of all documents, how many hold each wanted unit, and how many there are. Added up on the workers; as many rows come back as are wanted."""
+    """Of all distinct texts, how many hold each wanted unit, and how many there are. Added up on the workers; as many rows come back as are wanted.
+
+    Copies are told by a digest of the text; only that and the numbers of the units found are shuffled.
+    """
     shared = documents.sparkSession.sparkContext.broadcast({u: i for i, u in enumerate(wanted)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, n, docs = shared.value, np.zeros(len(wanted), np.int64), 0
+        place = shared.value
         seen: dict[str, list] = {}
         for b in batches:
-            docs += b.num_rows
+            found: dict[bytes, list[int]] = {}
             for text in b.column(0).to_pylist():
+                digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if digest in found:
+                    continue
                 hits: set[int] = set()
                 for s in segments(text):
                     if s not in seen:
@@ -232,13 +299,12 @@ def corpus_counts(documents: DataFrame, wanted: list[tuple[str, ...]]) -> tuple[
                             seen.clear()
                         seen[s] = [place[u] for u in segment_units(s) if u in place]
                     hits.update(seen[s])
-                for i in hits:
-                    n[i] += 1
-        there = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, there]), pa.array(np.r_[docs, n[there]])], names=["unit", "docs"])
+                found[digest] = [-1, *sorted(hits)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["digest", "units"])
 
-    rows = documents.select("text").mapInArrow(run, "unit bigint, docs bigint").groupBy("unit").agg(F.sum("docs").alias("docs")).collect()
-    got = {r.unit: r.docs for r in rows}
+    texts = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "digest binary, units array<int>").groupBy("digest").agg(F.first("units").alias("units"))
+    rows = texts.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("texts")).collect()
+    got = {r.unit: r.texts for r in rows}
     return {u: got.get(i, 0) for i, u in enumerate(wanted)}, got.get(-1, 0)
 
 

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from tallyforge.llm.spelling import fold, segments, words
-from tallyforge.llm.toxicity import Scorer, fit, rates, score, units
+from tallyforge.llm.toxicity import Scorer, candidates, common_segments, corpus_counts, fit, rates, score, units
 
 
 @pytest.mark.parametrize("a,b", [
@@ -65,3 +66,33 @@ def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, "abusive") for i in range(50)], "doc_id long, toxic int, category string")
     assert len(labelled_sample(docs, labels, 20)) == 20
+
+
+def test_toxic_text_copied_into_a_third_of_the_rows(spark):
+    rnd = random.Random(5)
+    texts = ["you are a worthless idiot." if i % 3 == 0 else ". ".join(rnd.choice(CALM).format(rnd.randrange(99)) for _ in range(3)) + "." for i in range(900)]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "abusive" if i % 3 == 0 else "none") for i in range(90)], "doc_id long, toxic int, category string")
+    assert {r.doc_id for r in score(docs, labels).where("score >= 0.5").collect()} == {i for i in range(900) if i % 3 == 0}
+    wanted = units("you are a worthless idiot")
+    assert corpus_counts(docs, wanted) == ({wanted[0]: 1}, len(set(texts)))
+
+
+def test_toxic_segment_in_a_third_of_the_texts():
+    rnd = random.Random(6)
+    texts = []
+    for i in range(3000):
+        lines = [rnd.choice(CALM).format(rnd.randrange(9999)) for _ in range(3)]
+        texts.append(". ".join(lines + ["you are a worthless idiot"] * (i % 3 == 0)) + ".")
+    wanted = candidates([(i, texts[i], 1.0, "abusive") for i in range(0, 60, 3)])
+    held = {u: sum(u in us for us in map(set, map(units, texts))) for u in wanted}
+    model = fit([(i, t, float(i % 3 == 0), "abusive") for i, t in enumerate(texts[:60])], held, len(texts))
+    toxic = {" ".join(k) for k, y in zip(model.keys, model.toxic) if y > 0.5}
+    assert "you are a worthless idiot" in toxic
+
+
+def test_common_segments():
+    # of 97,000 texts 885 are labelled toxic, a quarter of all toxic ones: one label in 40 texts is chance, ten are not; neither with one text
+    pos, neg, held = [np.array(x, float) for x in ([1] * 200 + [10] * 200 + [1] * 20 + [3] * 20, [2] * 200 + [0] * 240, [40] * 200 + [40] * 200 + [1] * 20 + [12] * 20)]
+    got = common_segments(pos, neg, held, 97_000, 885, 4_617)
+    assert got[:200].all() and not got[200:].any()
