@@ -49,6 +49,23 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
 
+def shown(df: DataFrame, limit: int = SHOWN_GROUPS) -> tuple[list[dict], str]:
+    """At most ``limit`` first rows for charts and reports, and a mark that says so if there are more."""
+    rows = _rows(df.limit(limit + 1))
+    return rows[:limit], f"The first {limit:,} of {df.count():,} rows." if len(rows) > limit else ""
+
+
+def printable(answers: dict[str, dict]) -> dict[str, dict]:
+    """Answers with the first rows in place of whole DataFrames."""
+    out = {}
+    for k, v in answers.items():
+        if isinstance(v.get("answer"), DataFrame):
+            rows, cut = shown(v["answer"])
+            v = v | {"answer": rows} | ({"cut": cut} if cut else {})
+        out[k] = v
+    return out
+
+
 class AnalysisResult:
     def __init__(self, df: DataFrame, source: str = "", load_meta: dict | None = None, insight_provider: InsightProvider | None = None):
         df = Q.with_row_id(Q.flatten(df))
@@ -126,14 +143,14 @@ class AnalysisResult:
         g = M.group_totals(df, sem, "category")
         out: dict = {"available": True, "category_column": sem["category"], "unique_categories": g.count()}
         if self.has("revenue"):
-            out["revenue_by_category"] = _rows(M.category_revenue(df, sem).orderBy(F.desc("revenue"), "category").limit(SHOWN_GROUPS))
-            if out["revenue_by_category"]:
-                out |= {"top_category": out["revenue_by_category"][0]["category"], "top_category_revenue_share_pct": out["revenue_by_category"][0]["share_pct"]}
+            out["revenue_by_category"] = M.category_revenue(df, sem).orderBy(F.desc_nulls_last("revenue"), "category")
+            if best := out["revenue_by_category"].first():
+                out |= {"top_category": best["category"], "top_category_revenue_share_pct": best["share_pct"]}
         if self.has("profit"):
-            out["profit_by_category"] = _rows(g.select(F.col("key").alias("category"), "profit").orderBy(F.desc("profit"), "category").limit(SHOWN_GROUPS))
+            out["profit_by_category"] = g.select(F.col("key").alias("category"), "profit").orderBy(F.desc_nulls_last("profit"), "category")
         if self.has("revenue", "profit"):
             m = M.category_margin(df, sem).where(F.col("margin_pct").isNotNull())
-            out["margin_by_category"] = _rows(m.select("category", "margin_pct").orderBy("category").limit(SHOWN_GROUPS))
+            out["margin_by_category"] = m.select("category", "margin_pct").orderBy("margin_pct", "category")
             worst = M.worst_margin(df, sem).select("category", "margin_pct").first()
             out["worst_margin_category"] = worst.asDict() if worst else None
         return out
@@ -156,10 +173,10 @@ class AnalysisResult:
         if self.has("quantity"):
             out["top_products_by_quantity"] = first("quantity")
         if self.has("profit"):
-            losing = g.where(F.col("profit") < 0)
+            losing = M.loss_making(self.cleaned_df, self.semantics)
             out |= {
-                "top_products_by_profit": first("profit"), "bottom_products_by_profit": first("profit", True)[::-1], "loss_making_product_count": losing.count(),
-                "loss_making_products": [{"product": r["key"], "profit": r["profit"]} for r in _rows(losing.select("key", "profit").orderBy(F.desc("profit"), "key").limit(SHOWN_GROUPS))],
+                "top_products_by_profit": first("profit"), "bottom_products_by_profit": first("profit", True)[::-1], "loss_making_product_count": g.where(F.col("profit") < 0).count(),
+                "loss_making_products": losing.select(F.col("key").alias("product"), "profit").orderBy("profit", "product"),
             }
         if self.has("discount"):
             out["highest_discount_products"] = [{"product": r["key"], "avg_discount": r["avg_discount"]} for r in _rows(M.top(g, "avg_discount"))]
@@ -232,7 +249,7 @@ class AnalysisResult:
         return dict(self.semantics)
 
     def ask(self, question: str | None = None) -> dict:
-        """Looks a figure up; without a question all answers. An unknown question is unavailable, not an error."""
+        """Looks a figure up; without a question all answers. An unknown question is unavailable, not an error. Answers that are lists of any length are DataFrames."""
         from tallyforge.plans.questions import answers
 
         every = answers(self)
@@ -274,14 +291,16 @@ class AnalysisResult:
         return write_with_fallback(target, lambda p: p.write_text(dashboard_html(self), encoding="utf-8"))
 
     def export(self, directory: str | Path = "analysis") -> dict[str, Path]:
-        """Cleaned data as a Parquet folder and one JSON file per result."""
+        """Cleaned data and loss-making products as Parquet folders and one JSON file per result."""
         from tallyforge.plans.questions import answers
         from tallyforge.sources.writers import save_json, write_table
 
         d = Path(directory)
         d.mkdir(parents=True, exist_ok=True)
         out = {"cleaned_data": write_table(self.cleaned_df.drop(Q.ROW_ID), d / "cleaned_data.parquet", single_file=False)}
-        parts = {"insights": self.insights, "quality": self.quality, "statistics": self.statistics, "kpis": self.kpis, "growth": self.growth, "anomalies": self.anomalies, "business_questions": lambda: {k: v() for k, v in answers(self).items()}}
+        parts = {"insights": self.insights, "quality": self.quality, "statistics": self.statistics, "kpis": self.kpis, "growth": self.growth, "anomalies": self.anomalies, "business_questions": lambda: printable({k: v() for k, v in answers(self).items()})}
+        if (losing := self.products().get("loss_making_products")) is not None:
+            out["loss_making_products"] = write_table(losing, d / "loss_making_products.parquet", single_file=False)
         return out | {k: save_json(d / f"{k}.json", get()) for k, get in parts.items()}
 
     def report(self, directory: str | Path = "analysis") -> dict[str, Path]:

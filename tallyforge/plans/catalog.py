@@ -560,10 +560,20 @@ def _(s, d):
     return sessions(table(s, d, "events"), "ts", "user_id").select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "events")
 
 
+def answer_rows(s: SparkSession, answers: dict[str, dict]) -> DataFrame:
+    """(question, available, answer); an answer that is a DataFrame has one row, a JSON object, for each of its rows."""
+    schema = "question string, available boolean, answer string"
+    whole = {k: v["answer"] for k, v in answers.items() if isinstance(v.get("answer"), DataFrame)}
+    out = s.createDataFrame([(k, v["available"], str(v.get("answer", v.get("reason")))) for k, v in answers.items() if k not in whole], schema)
+    for k, df in whole.items():
+        out = out.unionByName(df.select(F.lit(k).alias("question"), F.lit(True).alias("available"), F.to_json(F.struct(*df.columns)).alias("answer")))
+    return out
+
+
 @query("question_answers")
 def _(s, d):
     """All answers over finance as (question, available, answer)."""
     from tallyforge.plans.analysis import AnalysisResult
 
     r = AnalysisResult(table(s, d, "finance").select("entry_id", "account", "revenue", "cost", "received_at"), "finance")
-    return s.createDataFrame([(k, v["available"], str(v.get("answer", v.get("reason")))) for k, v in r.ask().items()], "question string, available boolean, answer string")
+    return answer_rows(s, r.ask())

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+
 from tallyforge.errors import NoCustomerIdentifier
 
 
 def _found(value, reason: str) -> dict:
-    return {"available": False, "reason": reason} if value is None or value == [] else {"available": True, "answer": value}
+    return {"available": False, "reason": reason} if value is None or (value.isEmpty() if isinstance(value, DataFrame) else value == []) else {"available": True, "answer": value}
 
 
 def answers(result) -> dict[str, Callable[[], dict]]:
@@ -16,7 +18,13 @@ def answers(result) -> dict[str, Callable[[], dict]]:
         return lambda: _found(result.kpis().get(key), f"no {key}")
 
     def first(get, key):
-        return lambda: _found(next(iter(get().get(key) or []), None), f"no {key}")
+        def one():
+            value = get().get(key)
+            if isinstance(value, DataFrame):
+                value = [r.asDict() for r in value.take(1)]
+            return _found(next(iter(value or []), None), f"no {key}")
+
+        return one
 
     def part(get, key):
         return lambda: _found(get().get(key), f"no {key}")

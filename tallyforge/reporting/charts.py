@@ -36,6 +36,8 @@ class ChartSpec:
 
 def build_charts(result) -> list[ChartSpec]:
     """kpi_cards, performance_trend, five charts of revenue by category, product_bar, revenue_distribution, boxplot, revenue_vs_profit and correlation_heatmap."""
+    from tallyforge.plans.analysis import shown
+
     df, sem, k = result.cleaned_df, result.semantics, result.kpis()
     out = []
     cards = [("total_revenue", "Revenue"), ("total_profit", "Profit"), ("profit_margin_pct", "Profit Margin"), ("orders", "Orders"), ("customers", "Customers"), ("total_quantity", "Quantity")]
@@ -46,14 +48,15 @@ def build_charts(result) -> list[ChartSpec]:
         out.append(ChartSpec("performance_trend", t["title"], "line", lines, t["date_column"], t["metric_label"], t["metric_label"], "SUM", t["date_column"]))
     except NoTrendData as e:
         out.append(ChartSpec("performance_trend", "Performance Trend", "line", note=str(e)))
-    rows = result.categories().get("revenue_by_category") or []
+    by_category = result.categories().get("revenue_by_category")
+    rows, cut = shown(by_category) if by_category is not None else ([], "")
     x, y = [r["category"] for r in rows], [r["revenue"] for r in rows]
     c = sem.get("category", "")
     for key, title, kind in (("revenue_by_category_column", "Revenue by Category", "column"), ("revenue_by_category_bar", "Revenue by Category", "bar"), ("category_pie", "Revenue Share by Category", "pie"), ("category_donut", "Revenue Share by Category", "donut")):
-        out.append(ChartSpec(key, title, kind, [{"name": "Revenue", "x": x, "y": y}] if rows else [], c, "Total Revenue", "Revenue", "SUM", c))
-    pareto = [r.asDict() for r in M.pareto(df, sem).orderBy(F.desc("revenue"), "key").limit(1_000).collect()] if result.has("category", "revenue") else []
+        out.append(ChartSpec(key, title, kind, [{"name": "Revenue", "x": x, "y": y}] if rows else [], c, "Total Revenue", "Revenue", "SUM", c, cut))
+    pareto, cut = shown(M.pareto(df, sem).orderBy(F.desc("revenue"), "key")) if result.has("category", "revenue") else ([], "")
     series = [{"name": "Revenue", "x": [r["key"] for r in pareto], "y": [r["revenue"] for r in pareto]}, {"name": "Cumulative %", "x": [r["key"] for r in pareto], "y": [r["cumulative_pct"] for r in pareto]}]
-    out.append(ChartSpec("pareto_category", "Revenue Pareto by Category", "pareto", series if pareto else [], c, "Total Revenue / Cumulative %", "Revenue", "SUM", c))
+    out.append(ChartSpec("pareto_category", "Revenue Pareto by Category", "pareto", series if pareto else [], c, "Total Revenue / Cumulative %", "Revenue", "SUM", c, cut))
     top = result.products().get("top_products_by_revenue") or []
     out.append(ChartSpec("product_bar", "Top 10 Products by Revenue", "bar", [{"name": "Revenue", "x": [r["product"] for r in top], "y": [r["revenue"] for r in top]}] if top else [], "Total Revenue", sem.get("product", ""), "Revenue", "SUM", sem.get("product", "")))
     r = sem.get("revenue", "")

@@ -8,6 +8,8 @@ from html import escape
 from tallyforge.sources.writers import plain
 
 STYLE = "body{font-family:sans-serif;margin:2em;color:#1f2937}.cards,.grid{display:flex;flex-wrap:wrap;gap:1em}.card,.chart{border:1px solid #d1d5db;border-radius:8px;padding:1em}.card b{display:block;font-size:1.4em}table{border-collapse:collapse}td,th{border:1px solid #d1d5db;padding:.3em .6em;text-align:left}small{color:#6b7280}"
+#: Rows of a chart shown as a table.
+TABLE_ROWS = 60
 COLOURS = ["#2563eb", "#f59e0b", "#16a34a", "#dc2626"]
 W, H = 460, 220
 
@@ -30,7 +32,8 @@ def svg(chart) -> str:
     if chart.empty:
         return f"<p>{escape(chart.note)}</p>"
     if chart.kind not in ("line", "column", "bar", "pareto", "scatter"):
-        return html_table(list(chart.series[0]), [list(s.values()) for s in chart.series[:60]]) if "x" not in chart.series[0] else html_table(["label", "value"], [list(p) for p in zip(chart.series[0]["x"], chart.series[0]["y"])][:60])
+        head, rows = (list(chart.series[0]), [list(s.values()) for s in chart.series]) if "x" not in chart.series[0] else (["label", "value"], [list(p) for p in zip(chart.series[0]["x"], chart.series[0]["y"])])
+        return html_table(head, rows[:TABLE_ROWS]) + (f"<p>The first {TABLE_ROWS} of {len(rows):,} rows.</p>" if len(rows) > TABLE_ROWS else "")
     shapes = []
     for i, s in enumerate(chart.series):
         ys = [float(v) if v is not None else 0.0 for v in s["y"]]

@@ -20,14 +20,18 @@ def render_table(headers: Sequence[str], rows: Sequence[Sequence], title: str |
 
 
 def terminal_report(result) -> str:
+    from tallyforge.plans.analysis import shown
+
     p, q = result.profile, result.quality()
     out = [f"Analysis of {result.source}"]
     overview = [["Rows", p["rows"]], ["Columns", p["columns"]], ["Size (KB)", round(p["memory_bytes"] / 1024, 1)], ["Missing values", q["missing"]["total_missing"]], ["Duplicate rows", q["duplicates"]["duplicate_rows"]], ["Numeric columns", len(p["numeric_columns"])], ["Categorical columns", len(p["categorical_columns"])], ["Date columns", len(p["date_columns"])], ["Quality score", f"{q['quality_score']}/100"], ["Encoding", result.load_meta.get("encoding", "utf-8")]]
     out.append(render_table(["Metric", "Value"], overview, "DATASET"))
     out.append(render_table(["KPI", "Value"], [[k.replace("_", " ").title(), v] for k, v in result.kpis().items()], "KPIS"))
     cat, prod = result.categories(), result.products()
-    if rows := cat.get("revenue_by_category"):
-        out.append(render_table(["Category", "Revenue", "Share %"], [list(r.values()) for r in rows[:10]], "REVENUE BY CATEGORY"))
+    if (by_category := cat.get("revenue_by_category")) is not None:
+        rows, cut = shown(by_category, 10)
+        if rows:
+            out.append(render_table(["Category", "Revenue", "Share %"], [list(r.values()) for r in rows], "REVENUE BY CATEGORY" + (f" ({cut})" if cut else "")))
     if rows := prod.get("top_products_by_quantity"):
         out.append(render_table(["#", "Product", "Quantity"], [[i, *r.values()] for i, r in enumerate(rows, 1)], "PRODUCTS BY QUANTITY"))
     if rows := prod.get("highest_discount_products"):

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import date, timedelta
 
@@ -8,6 +9,7 @@ from tallyforge.errors import EmptyDataset, NoCustomerIdentifier, NoTrendData
 from tallyforge.operators import quality as Q
 from tallyforge.operators.cleaning import clean
 from tallyforge.plans.analysis import AnalysisResult, analyze, by_severity, clean_file, profile, quality_check, recommendations
+from tallyforge.plans.catalog import answer_rows
 from tallyforge.reporting.pdf import write_pdf
 from tallyforge.reporting.terminal import render_table
 
@@ -63,6 +65,22 @@ def test_outputs(result, tmp_path):
     assert result.dashboard(tmp_path / "folder").name == "dashboard.html"
 
 
+def test_loss_makers_and_categories_are_whole(spark, tmp_path):
+    rows = [(f"SKU-{i}", f"cat {i}", 100.0, 100.0 + i) for i in range(1, 1201)] + [("SKU-gain", "cat gain", 100.0, 1.0)]
+    r = AnalysisResult(spark.createDataFrame(rows, "product_id string, category string, revenue double, cost double"), "t")
+    losing = [(x.product, x.profit) for x in r.products()["loss_making_products"].collect()]
+    assert losing == [(f"SKU-{i}", -float(i)) for i in range(1200, 0, -1)] and r.products()["loss_making_product_count"] == 1200
+    assert r.ask("which_products_are_loss_making")["answer"].count() == 1200 and r.ask("which_category_generates_the_highest_profit")["answer"] == {"category": "cat gain", "profit": 99.0}
+    assert {k: r.categories()[k].count() for k in ("revenue_by_category", "profit_by_category", "margin_by_category")} == dict.fromkeys(("revenue_by_category", "profit_by_category", "margin_by_category"), 1201)
+    got = answer_rows(spark, r.ask()).where("question = 'which_products_are_loss_making'").collect()
+    assert len(got) == 1200 and {"SKU-1200", "SKU-1"} <= {json.loads(x.answer)["product"] for x in got}
+    out = r.export(tmp_path / "x")
+    said = json.loads(out["business_questions"].read_text())["which_products_are_loss_making"]
+    assert len(said["answer"]) == 1000 and said["answer"][0]["product"] == "SKU-1200" and said["cut"] == "The first 1,000 of 1,200 rows."
+    assert spark.read.parquet(str(out["loss_making_products"])).count() == 1200
+    assert {c.key: c.note for c in r.visualize()}["revenue_by_category_bar"] == "The first 1,000 of 1,201 rows." and "The first 10 of 1,201 rows." in r.table()
+
+
 def test_provider(spark, path):
     class P:
         def generate(self, context):
