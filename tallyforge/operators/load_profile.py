@@ -136,17 +136,36 @@ def _auc(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((gp * (below + gn / 2)).sum() / (pos.sum() * neg.sum()))
 
 
+def _folded(load: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """The cells with every row in a fold: those without a key (fold null), and all if the keys leave a fold under a quarter of the rows, are dealt out in turn."""
+
+    def dealt(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.groupby(names, as_index=False)["n"].sum().sort_values(names)
+        end = cells["n"].cumsum()
+        part = lambda f: (end + f) // FOLDS - (end - cells["n"] + f) // FOLDS
+        return pd.concat([cells.assign(fold=f, n=part(f)) for f in range(FOLDS)]).query("n > 0")
+
+    none = load["fold"].isna()
+    if none.any():
+        load = pd.concat([load.loc[~none, [*names, "fold", "n"]], dealt(load[none])], ignore_index=True)
+        load = load.groupby([*names, "fold"], as_index=False)["n"].sum()
+    if min(load.loc[load["fold"] == f, "n"].sum() for f in range(FOLDS)) < load["n"].sum() / (2 * FOLDS):
+        load = dealt(load)
+    return load
+
+
 def _two_sample(load: pd.DataFrame, names: list[str], shares: dict[str, tuple]) -> list[tuple]:
-    """(column, rows, auc alone, auc of all columns, auc without the column) of one load against the accepted profile.
+    """(column, rows, auc alone or None if it can't be cross-fitted, auc of all columns, auc without the column) of one load against the accepted profile.
 
     ``load`` has fold, n and one band column per name (0: null). The accepted sample is the profile itself: every column's
     bands with their accepted shares, independent, weighted to the load's mass.
     """
     grid = np.array(np.meshgrid(*[range(1, BANDS + 1)] * len(names), indexing="ij")).reshape(len(names), -1)
     weight = np.prod([np.array(shares[c], float)[grid[i] - 1] for i, c in enumerate(names)], axis=0)
+    load = _folded(load, names)
     bands, n, fold = load[names].to_numpy(), load["n"].to_numpy(float), load["fold"].to_numpy()
 
-    def crossed(cols: list[int]) -> float:
+    def crossed(cols: list[int]) -> float | None:
         aucs, mass = 0.0, 0.0
         code = lambda b: np.concatenate([np.ones((len(b), 1)), *[(b[:, [i]] == np.arange(2, BANDS + 1)).astype(float) for i in cols]], axis=1)
         whole = (bands[:, cols] > 0).all(axis=1)
@@ -161,18 +180,20 @@ def _two_sample(load: pd.DataFrame, names: list[str], shares: dict[str, tuple])
             xt = np.concatenate([code(bands[test]), acc])
             auc = _auc(xt @ beta, np.r_[np.ones(len(b)), np.zeros(len(weight))], np.r_[b / b.sum(), weight / weight.sum()])
             aucs, mass = aucs + auc * b.sum(), mass + b.sum()
-        return aucs / mass if mass else 0.5
+        return aucs / mass if mass else None
 
+    some = lambda auc: 0.5 if auc is None else auc
     every = list(range(len(names)))
-    together = crossed(every)
-    return [(c, int(n[bands[:, i] > 0].sum()), crossed([i]), together, crossed([j for j in every if j != i]) if len(every) > 1 else 0.5) for i, c in enumerate(names)]
+    together = some(crossed(every))
+    return [(c, int(n[bands[:, i] > 0].sum()), crossed([i]), together, some(crossed([j for j in every if j != i])) if len(every) > 1 else 0.5) for i, c in enumerate(names)]
 
 
 def discrimination(df: DataFrame, load: str, fold_key: str, baselines: dict[str, Baseline]) -> DataFrame:
     """(load_id, column_name, auc_alone, auc_all, auc_without, candidate): the classifier two-sample test of every load.
 
     A column is a candidate when its cross-fitted discrimination reaches the least one that a band share off by band_limit implies
-    (the ROC curve then passes a point with that difference, so the area is at least (1 + limit) / 2), less SLACK standard errors.
+    (the ROC curve then passes a point with that difference, so the area is at least (1 + limit) / 2), less SLACK standard errors. A column that can't be
+    cross-fitted is a candidate too, so that the exact check decides. Keys that are null or much repeated are no folds: such rows are dealt out in turn.
     """
     use = judged(baselines)
     parts = [_discrimination(df, load, fold_key, use[i : i + JOINT]) for i in range(0, len(use), JOINT)]
@@ -189,7 +210,7 @@ def _discrimination(df: DataFrame, load: str, fold_key: str, use: list[Baseline]
     shares = {k: b.bands for k, b in zip(names, use)}
     limits = {k: b.band_limit for k, b in zip(names, use)}
     called = {k: b.column_name for k, b in zip(names, use)}
-    fold = F.pmod(F.xxhash64(F.coalesce(F.col(fold_key).cast("bigint"), F.lit(0))), F.lit(FOLDS)).cast("int")
+    fold = F.when(F.col(fold_key).isNotNull(), F.pmod(F.xxhash64(F.col(fold_key).cast("bigint")), F.lit(FOLDS)).cast("int"))
     cells = (
         df.select(F.col(load).cast("bigint").alias("load_id"), fold.alias("fold"), *[F.coalesce(band_of(finite(F.col(b.column_name)), b), F.lit(0)).alias(k) for k, b in zip(names, use)])
         .groupBy("load_id", "fold", *names).agg(F.count(F.lit(1)).alias("n"))
@@ -200,7 +221,7 @@ def _discrimination(df: DataFrame, load: str, fold_key: str, use: list[Baseline]
         rows = []
         for c, n, alone, together, without in _two_sample(group, names, shares):
             least = (1 + limits[c]) / 2 - SLACK / math.sqrt(max(n, 1))
-            rows.append((None if pd.isna(load_id) else int(load_id), called[c], alone, together, without, alone >= least))
+            rows.append((None if pd.isna(load_id) else int(load_id), called[c], 0.5 if alone is None else alone, together, without, alone is None or alone >= least))
         return pd.DataFrame(rows, columns=["load_id", "column_name", "auc_alone", "auc_all", "auc_without", "candidate"]).astype({"load_id": "Int64"})
 
     return cells.groupBy("load_id").applyInPandas(test, "load_id bigint, column_name string, auc_alone double, auc_all double, auc_without double, candidate boolean")

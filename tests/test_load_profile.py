@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tallyforge.operators.load_profile import Baseline, load_profile
 
 
@@ -53,3 +55,18 @@ def test_many_columns_are_judged_in_groups(spark):
     df = spark.createDataFrame([(i, 1, *[rnd.uniform(0, 100) for _ in cols]) for i in range(400)], ["row_id", "load_id", *cols])
     got = load_profile(df, "load_id", "row_id", {c: accepted(c) for c in cols}).collect()
     assert sorted(r.column_name for r in got) == cols and all(r.issues == [] for r in got)
+
+
+@pytest.mark.parametrize("key", [lambda i: None, lambda i: 7, lambda i: i if i < 20 else None, lambda i: i if i < 20 else 7])
+def test_keys_that_are_null_or_repeated(spark, key):
+    rnd = random.Random(4)
+    values = [[rnd.uniform(0, 100) * (0.6 if load == 1 else 1) for _ in range(6000)] for load in range(2)]
+    rows = [(key(i), load, x, "True", 1.0, "f") for load in range(2) for i, x in enumerate(values[load])]
+    got = {r.load_id: r for r in load_profile(frame(spark, rows), "load_id", "row_id", {"x": accepted()}).collect()}
+    assert got[1].issues == ["distribution"] and got[0].issues == [] and got[1].auc_alone > 0.6 > got[0].auc_alone
+
+
+def test_few_values_without_keys(spark):
+    rows = [(None, 1, [10.0, 60.0, 90.0][i % 3], "True", 1.0, "f") for i in range(6000)]
+    got = load_profile(frame(spark, rows), "load_id", "row_id", {"x": accepted()}).first()
+    assert got.rows == 6000 and got.issues == ["distribution"]
