@@ -571,6 +571,14 @@ def answer_rows(s: SparkSession, answers: dict[str, dict]) -> DataFrame:
 
 
 @query("question_answers")
+def _(s, d):
+    """All answers over the sales view, which has every concept, as (question, available, answer)."""
+    from tallyforge.plans.analysis import AnalysisResult
+
+    return answer_rows(s, AnalysisResult(fact(s, d), "sales").ask())
+
+
+@query("question_answers_finance")
 def _(s, d):
     """All answers over finance as (question, available, answer)."""
     from tallyforge.plans.analysis import AnalysisResult

@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows of its SQL; every other one runs."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -38,6 +39,17 @@ def test_runs(spark, sf_dir, name):
     QUERIES[name](spark, sf_dir).count()
 
 
+def test_questions_over_sales_are_all_answered(spark, con, sf_dir):
+    rows = QUERIES["question_answers"](spark, sf_dir).collect()
+    assert len({r.question for r in rows}) == 23 and all(r.available for r in rows)
+    said = {r.question: r.answer for r in rows}
+    losing = {x["product"]: x["profit"] for r in rows if r.question == "which_products_are_loss_making" for x in [json.loads(r.answer)]}
+    want = dict(con.execute(SQL["product_loss_making"]).fetchall())
+    assert losing.keys() == want.keys() and all(abs(losing[k] - float(v)) < 0.01 for k, v in want.items())
+    orders, customers, products = con.execute("SELECT COUNT(DISTINCT l_orderkey), COUNT(DISTINCT o_custkey), COUNT(DISTINCT l_partkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchone()
+    assert (said["how_many_orders"], said["how_many_unique_customers"], said["how_many_products_sold"]) == (str(orders), str(customers), str(products))
+
+
 def test_entry(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
