@@ -356,7 +356,7 @@ ids AS (SELECT COUNT(*) - COUNT(DISTINCT order_id) - MAX(CASE WHEN order_id IS N
 SELECT ROUND(100 - LEAST(0.6e0 * ROUND(100e0 * miss.k / (u.n * 7), 2), 30) - LEAST(0.8e0 * ROUND(100e0 * (u.n - u.u) / u.n, 2), 20) - LEAST(0.2e0 * (100e0 * o.k / u.n), 15) - LEAST(5e0 * neg.k, 15) - LEAST(0.3e0 * (100e0 * ids.k / u.n), 10), 1) AS quality_score
 FROM o, neg, u, miss, ids""".replace("ALL_COLUMNS", ", ".join(ECOM)))
 def _(s, d):
-    sem = {"order": "order_id", "revenue": "revenue", "quantity": "quantity", "profit": "profit"}
+    sem = {"order": "order_id", "date": "order_date", "revenue": "revenue", "quantity": "quantity", "profit": "profit"}
     labels = {"order_id": "identifier", "order_date": "date", "customer_id": "categorical", "category": "categorical", "quantity": "float", "revenue": "float", "profit": "float"}
     return s.createDataFrame([(float(Q.quality(orders_as_delivered(s, d), sem, labels)["quality_score"]),)], "quality_score double")
 

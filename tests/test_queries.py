@@ -6,8 +6,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyforge.plans import catalog
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -50,6 +52,13 @@ def test_questions_over_sales_are_all_answered(spark, con, sf_dir):
     assert (said["how_many_orders"], said["how_many_unique_customers"], said["how_many_products_sold"]) == (str(orders), str(customers), str(products))
 
 
+def test_quality_score_counts_invalid_dates(spark, sf_dir, monkeypatch):
+    whole = catalog.orders_as_delivered
+    clean = QUERIES["quality_score"](spark, sf_dir).first()[0]
+    monkeypatch.setattr(catalog, "orders_as_delivered", lambda s, d: whole(s, d).withColumn("order_date", F.concat(F.lit("no date "), F.col("order_date").cast("string"))))
+    assert QUERIES["quality_score"](spark, sf_dir).first()[0] < clean
+
+
 def test_entry(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
