@@ -28,6 +28,5 @@ def parse_date(c: Column, dtype: DataType | None = None) -> Column:
     if dtype is not None and not isinstance(dtype, StringType):
         return F.lit(None).cast("timestamp_ntz")
     text = F.regexp_replace(F.regexp_replace(strip(c), r"(:\d{2})(\.\d+)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?$", "$1"), r"(?<=\d)T(?=\d)", " ")
-    short = F.when(F.length(text) <= 40, text)
-    tries = [F.when(short.rlike(f"^(?:{p})$"), F.try_to_timestamp(F.initcap(short) if "MMM" in f else short, F.lit(f)).cast("timestamp_ntz")) for p, f in FORMATS]
-    return F.coalesce(*tries)
+    tries = [F.when(text.rlike(f"^(?:{p})$"), F.try_to_timestamp(F.initcap(text) if "MMM" in f else text, F.lit(f)).cast("timestamp_ntz")) for p, f in FORMATS]
+    return F.when(c.rlike(r"\d{4}"), F.coalesce(*tries))  # every format has four digits in a row

@@ -8,7 +8,7 @@ from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 from tallyforge.functions.values import NUMBER, finite, strip
 
-#: Values beyond this are added as doubles, others as decimals with four places.
+#: Values beyond this are added as doubles.
 EXACT_BELOW = 1e23
 
 
@@ -27,8 +27,14 @@ def col_num(df, name: str) -> Column:
 
 
 def total(c: Column) -> Column:
-    """Exact sum (four decimal places) as a double; 0.0 of nothing. Independent of the order of rows."""
-    return F.coalesce(F.when(F.max(F.abs(c)) < EXACT_BELOW, F.sum(c.try_cast("decimal(28,4)")).cast("double")).otherwise(F.sum(c)), F.lit(0.0))
+    """Sum as a double; 0.0 of nothing.
+
+    The first four decimal places are added as exact decimals, whatever the order of rows; what is left of each value below them (or the whole of one
+    beyond EXACT_BELOW) is added as a double, so that nothing is rounded away. Amounts in cents or their hundredths give the same sum in every order.
+    """
+    places = F.when(F.abs(c) < EXACT_BELOW, c.try_cast("decimal(28,4)"))
+    rest = c - F.coalesce(places.cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(places).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -128,10 +128,10 @@ class TimestampParser:
         keep = [c for c in df.columns if c != out]
         df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{feed}`").alias("_of"))
         df = self.with_feed(df, "_of")
-        raw = F.substring(F.upper(strip(F.col("_text"))), 1, 120)  # no spelling is longer; a longer text is no date
+        raw = F.upper(strip(F.col("_text")))
         df = df.withColumn("_missing", is_missing(F.col("_text"), F.col("_token"))).withColumn("_t", F.when(~F.col("_missing"), raw))
         parts = F.split(F.regexp_replace("_t", PATTERN, SEP + SEP.join(f"${i}" for i in range(1, 26))), SEP)
-        df = df.withColumn("_p", F.when(F.length("_t") < 120, parts)).withColumn("_match", F.size("_p") == 26)
+        df = df.withColumn("_p", F.when(~F.contains("_t", F.lit(SEP)), parts)).withColumn("_match", F.size("_p") == 26)
         g = lambda i: F.when(F.col("_match"), F.nullif(F.get("_p", F.lit(i)), F.lit("")))
         num = lambda i: g(i).try_cast("int")
         a, b = num(4), num(5)

@@ -62,8 +62,8 @@ def query(name: str, sql: str | None = None, sales_sql: bool = False):
 
 
 def dsum(x: str) -> str:
-    """SQL of an exact sum."""
-    return f"COALESCE(CAST(SUM(CAST({x} AS DECIMAL(28,4))) AS DOUBLE), 0)"
+    """SQL of a sum: four places as exact decimals, what is left of each value below them as doubles."""
+    return f"(COALESCE(CAST(SUM(CAST({x} AS DECIMAL(28,4))) AS DOUBLE), 0) + COALESCE(SUM(({x}) - CAST(CAST({x} AS DECIMAL(28,4)) AS DOUBLE)), 0))"
 
 
 # --- KPIs -------------------------------------------------------------------------------------------------------------
@@ -408,7 +408,7 @@ def _(s, d):
 
 
 _DATE_TEXT = f"regexp_replace(regexp_replace({SQL_STRIP('signup_date')}, '(:\\d{{2}})(\\.\\d+)?\\s*(Z|UTC|[+-]\\d{{2}}:?\\d{{2}})?$', '\\1'), '(\\d)T(\\d)', '\\1 \\2')"
-_DATE_TRIES = ", ".join(f"CASE WHEN length(t) <= 40 AND regexp_full_match(t, '{p}') THEN try_strptime(t, '{_sql_format(f)}') END" for p, f in FORMATS)
+_DATE_TRIES = ", ".join(f"CASE WHEN regexp_full_match(t, '{p}') THEN try_strptime(t, '{_sql_format(f)}') END" for p, f in FORMATS)
 
 
 @query("clean_dates", f"WITH s AS (SELECT row_id, {_DATE_TEXT} AS t FROM customer_profile) SELECT row_id, COALESCE({_DATE_TRIES}) AS signup_date FROM s")

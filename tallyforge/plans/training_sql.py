@@ -9,16 +9,17 @@ from tallyforge.functions.values import MISSING_WORDS
 ZONES = ["America/New_York", "Europe/Berlin", "Asia/Kolkata", "Australia/Sydney", "UTC", "America/Sao_Paulo", "Europe/London", "America/Chicago"]
 YEARS = (2021, 2025)
 
-_WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in MISSING_WORDS)
+_QUOTED = ["'" + w.replace("'", "''") + "'" for w in MISSING_WORDS]
+_WORDS, _WORDS_FOR_NUMBERS = ", ".join(_QUOTED), ", ".join(w for w in _QUOTED if w != "'nan'")
 
 
 def strip(c: str) -> str:
     return f"regexp_replace({c}, '^[\\s\\p{{Z}}\\x{{200B}}\\x{{FEFF}}]+|[\\s\\p{{Z}}\\x{{200B}}\\x{{FEFF}}]+$', '', 'g')"
 
 
-def missing(c: str, token: str) -> str:
-    t = strip(c)
-    return f"({c} IS NULL OR {t} = '' OR lower({t}) IN ({_WORDS}) OR regexp_full_match({t}, '[-–—?.…_*]+') OR COALESCE({t} = {strip(token)}, false))"
+def missing(c: str, token: str, numeric: bool = False) -> str:
+    t, words = strip(c), _WORDS_FOR_NUMBERS if numeric else _WORDS
+    return f"({c} IS NULL OR {t} = '' OR lower({t}) IN ({words}) OR regexp_full_match({t}, '[-–—?.…_*]+') OR COALESCE({t} = {strip(token)}, false))"
 
 
 def number(c: str) -> str:
@@ -52,7 +53,7 @@ def dates(source: str) -> str:
 spans(zone, s, e, off) AS (VALUES {_SPANS}), abbreviations(zone, name, off) AS (VALUES {_NAMES}),
 src AS ({source}),
 trimmed AS (SELECT k, text, time_zone, day_first, {missing('text', 'null_token')} AS gone, upper({strip('text')}) AS t FROM src LEFT JOIN feeds ON src.feed = feeds.feed),
-split AS (SELECT *, CASE WHEN NOT gone AND length(t) < 120 THEN regexp_extract(t, '{PATTERN.replace("'", "''")}', [{_GROUPS}]) END AS g, CASE WHEN NOT gone AND regexp_full_match(t, '[0-9]{{10}}|[0-9]{{13}}') THEN CAST(t AS BIGINT) * CASE WHEN length(t) = 13 THEN 1000 ELSE 1000000 END END AS eus FROM trimmed),
+split AS (SELECT *, CASE WHEN NOT gone THEN regexp_extract(t, '{PATTERN.replace("'", "''")}', [{_GROUPS}]) END AS g, CASE WHEN NOT gone AND regexp_full_match(t, '[0-9]{{10}}|[0-9]{{13}}') THEN CAST(t AS BIGINT) * CASE WHEN length(t) = 13 THEN 1000 ELSE 1000000 END END AS eus FROM trimmed),
 digits AS (SELECT *, COALESCE({_int(1)}, {_int(6)}, {_int(9)}, {_int(12)}, {_int(15)}, {_int(16)}) AS y, COALESCE({_int(2)}, CASE WHEN day_first THEN {_int(5)} ELSE {_int(4)} END, {_int(8)}, {_MONTH_CASE}, {_int(17)}) AS m,
     COALESCE({_int(3)}, CASE WHEN day_first THEN {_int(4)} ELSE {_int(5)} END, {_int(7)}, {_int(10)}, {_int(14)}, {_int(18)}) AS d, COALESCE(g.a19, '') <> '' AS timed,
     CASE WHEN g.a23 = '' THEN {_int(19)} WHEN {_int(19)} BETWEEN 1 AND 12 THEN {_int(19)} % 12 + CASE WHEN g.a23 = 'P' THEN 12 ELSE 0 END END AS hh, {_int(20)} AS mi, COALESCE({_int(21)}, 0) AS ss,
@@ -92,8 +93,8 @@ fields AS (SELECT raw_id, feed, regexp_extract(line, '(?s)^{_F},{_F},{_F},{_F},{
 cells AS (SELECT raw_id, fields.feed AS feed, null_token, {_unquoted(1)} AS order_id, {_unquoted(2)} AS order_date, {_unquoted(4)} AS revenue FROM fields LEFT JOIN feeds ON fields.feed = feeds.feed),
 {dates("SELECT raw_id AS k, order_date AS text, feed FROM cells")}
 SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL
-UNION ALL SELECT raw_id, 'order_id' FROM cells WHERE NOT {missing('order_id', 'null_token')} AND NOT regexp_full_match({strip('order_id')}, '[+-]?[0-9]+(\\.0*)?')
-UNION ALL SELECT raw_id, 'revenue' FROM cells WHERE NOT {missing('revenue', 'null_token')} AND {number('revenue')} IS NULL
+UNION ALL SELECT raw_id, 'order_id' FROM cells WHERE NOT {missing('order_id', 'null_token', True)} AND NOT regexp_full_match({strip('order_id')}, '[+-]?[0-9]+(\\.0*)?')
+UNION ALL SELECT raw_id, 'revenue' FROM cells WHERE NOT {missing('revenue', 'null_token', True)} AND {number('revenue')} IS NULL
 UNION ALL SELECT k, 'order_date' FROM stamped WHERE status = 'invalid'
 """
 
