@@ -1,8 +1,8 @@
 """Filling missing values from similar records: time-ordered filling per entity.
 
-Numbers are interpolated in time between the observed neighbours of the same entity, categories carried from the nearer
-neighbour within a gap limit (beyond it the entity's most frequent value is taken); each filled value carries its method and the
-distance in seconds to the record it came from.
+Numbers are interpolated in time between the observed neighbours of the same entity; before the first and after the last observation, and for categories, the
+nearer neighbour is carried within a gap limit. Beyond the limit the typical value of the entity is taken (the average number, the most frequent category), so that
+every cell with a usable value of its entity comes out filled. Each filled value carries its method and the distance in seconds to the nearest observation.
 
 An entity can hold a third of all rows, so no window runs over a whole entity: windows run over (entity, time block), and only
 one summary row per block (its first and last observed value) goes into a window per entity. Results are the same as those of one
@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.numbers import total
+
 #: Length of a time block in seconds; an entity-block is one task's group.
 BLOCK_SECONDS = 3_600
-#: Gap limit for carried categories.
+#: Gap limit for carried values.
 CARRY_LIMIT_SECONDS = 30 * 86_400
 
 
@@ -28,8 +30,7 @@ def fill_over_time(
 
     numeric and categorical give the usable value of each column (null where there is none), missing the condition that a cell
     has to be filled; cells that are neither missing nor usable stay null and unfilled. Order within an entity is ``time``, then
-    the unique ``tie``; a null time sorts first. Methods: ``interpolated``, ``carried`` (numbers before the first or after the last
-    observation, categories within the limit), ``frequent`` (categories whose neighbours lie beyond the limit). Rows without an
+    the unique ``tie``; a null time sorts first. Methods: ``interpolated``, ``carried`` (within the limit), ``average`` and ``frequent`` (beyond it). Rows without an
     entity keep null and method null. Ties between two equally near categories go to the earlier one; the most frequent value is the smallest of those
     with the highest count.
     """
@@ -66,6 +67,9 @@ def fill_over_time(
         counts = base.where(F.col(entity).isNotNull() & F.col(f"_v_{c}").isNotNull()).groupBy(F.col(entity).alias("_ce"), F.col(f"_v_{c}").alias("_cv")).count()
         best = counts.groupBy("_ce").agg(F.min_by("_cv", F.struct(-F.col("count"), "_cv")).alias(f"_top_{c}"))
         summary = summary.join(best, F.col("_e") == F.col("_ce"), "left").drop("_ce")
+    if numeric:
+        means = base.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_ce")).agg(*[F.try_divide(total(F.col(f"_v_{c}")), F.count(f"_v_{c}")).alias(f"_top_{c}") for c in numeric])
+        summary = summary.join(means, F.col("_e") == F.col("_ce"), "left").drop("_ce")
     df = df.join(summary, (df[entity] == F.col("_e")) & (df["_block"] == F.col("_b")), "left")
     out = []
     for c in columns:
@@ -77,8 +81,9 @@ def fill_over_time(
         if c in numeric:
             span = nxt["s"] - prev["s"]
             between = F.when(span > 0, prev["v"] + (nxt["v"] - prev["v"]) * F.try_divide(back, span)).otherwise((prev["v"] + nxt["v"]) / 2)
-            value = F.when(prev.isNull(), nxt["v"]).when(nxt.isNull(), prev["v"]).otherwise(between)
-            method = F.when(prev.isNull() | nxt.isNull(), "carried").otherwise("interpolated")
+            inside = prev.isNotNull() & nxt.isNotNull()
+            value = F.when(inside, between).when(near <= carry_limit, nearer["v"]).otherwise(F.col(f"_top_{c}"))
+            method = F.when(inside, "interpolated").when(near <= carry_limit, "carried").otherwise("average")
         else:
             value = F.when(near <= carry_limit, nearer["v"]).otherwise(F.col(f"_top_{c}"))
             method = F.when(near <= carry_limit, "carried").otherwise("frequent")

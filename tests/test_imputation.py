@@ -29,7 +29,9 @@ def brute(rows, limit):
                     out[r[0], col] = (None, False, None)
                 elif col == "x":
                     if p is None or n is None:
-                        out[r[0], col] = (group[n if p is None else p][k], True, "carried")
+                        j = n if p is None else p
+                        values = [g[k] for g in group if g[k] is not None]
+                        out[r[0], col] = (group[j][k], True, "carried") if abs(sec[i] - sec[j]) <= limit else (sum(values) / len(values), True, "average")
                     else:
                         a, b = group[p][k], group[n][k]
                         out[r[0], col] = (a + (b - a) * (sec[i] - sec[p]) / (sec[n] - sec[p]) if sec[n] > sec[p] else (a + b) / 2, True, "interpolated")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators.load_profile import Baseline, load_profile
 
@@ -49,7 +50,7 @@ def test_null_loads_empty_tables_and_nothing_but_nulls(spark):
     assert got[None].nulls == 2 and got[None].issues == ["null_rate"] and got[None].stray_share is None and got[3].rows == 1
 
 
-def test_many_columns_are_judged_in_groups(spark):
+def test_many_columns_are_judged_together(spark):
     rnd = random.Random(3)
     cols = [f"c{i}" for i in range(9)]
     df = spark.createDataFrame([(i, 1, *[rnd.uniform(0, 100) for _ in cols]) for i in range(400)], ["row_id", "load_id", *cols])
@@ -70,3 +71,19 @@ def test_few_values_without_keys(spark):
     rows = [(None, 1, [10.0, 60.0, 90.0][i % 3], "True", 1.0, "f") for i in range(6000)]
     got = load_profile(frame(spark, rows), "load_id", "row_id", {"x": accepted()}).first()
     assert got.rows == 6000 and got.issues == ["distribution"]
+
+
+def test_the_classifier_decides(spark, monkeypatch):
+    from tallyforge.operators import load_profile as P
+
+    rnd = random.Random(5)
+    rows = [(i, load, rnd.uniform(0, 100) * (0.6 if load else 1), rnd.choice(["True", "False"]) if load else "True", 1.0, "f") for load in range(2) for i in range(2000)]
+    base = {"x": accepted(), "flag": accepted("flag", accepted=["True", "False"], q=(None,) * 3, bands=(None,) * 4, value_min=None, value_max=None, band_limit=None)}
+    got = {(r.column_name, r.load_id): r for r in load_profile(frame(spark, rows), "load_id", "row_id", base).collect()}
+    r = got["x", 1]
+    assert r.issues == ["distribution"] and got["x", 0].issues == []
+    assert abs(r.moved_share - max(abs(r[f"band{i}_share"] - 0.25) for i in range(1, 5))) < 1e-4
+    assert got["flag", 1].auc_alone > 0.6 and got["flag", 1].moved_share is None and got["flag", 1].auc_all >= got["flag", 1].auc_without
+    test = P.discrimination
+    monkeypatch.setattr(P, "discrimination", lambda *a: test(*a).withColumn("moved", F.lit(0.0)))
+    assert all(r.issues == [] for r in load_profile(frame(spark, rows), "load_id", "row_id", base).collect())
