@@ -31,7 +31,7 @@ WHOLE = r"^[+-]?[0-9]+(\.0*)?$"
 
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only U+0020, and byte order marks."""
-    return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_missing(c: Column, token: Column | None = None, numeric: bool = False) -> Column:
@@ -41,7 +41,7 @@ def is_missing(c: Column, token: Column | None = None, numeric: bool = False) ->
     """
     text = strip(c)
     words = [w for w in MISSING_WORDS if not (numeric and w == NOT_A_NUMBER)]
-    test = c.isNull() | text.rlike(f"^[{MISSING_SIGNS}]*$") | F.lower(text).isin(words)
+    test = c.isNull() | (F.trim(text, F.lit(MISSING_SIGNS)) == "") | F.lower(text).isin(words)
     if token is not None:
         test = test | F.coalesce(text == strip(token), F.lit(False))
     return F.coalesce(test, F.lit(True))
@@ -49,8 +49,8 @@ def is_missing(c: Column, token: Column | None = None, numeric: bool = False) ->
 
 def number(c: Column) -> Column:
     """A finite decimal or scientific number after removing currency signs, commas and ``%``; else null."""
-    bare = strip(F.regexp_replace(c, f"[{AMOUNT_SIGNS}]", ""))
-    value = F.when(bare.rlike(NUMBER), bare).try_cast("double")
+    text, bare = strip(c), strip(F.translate(c, AMOUNT_SIGNS, ""))
+    value = F.when(text.rlike(NUMBER), text).when(bare.rlike(NUMBER), bare).try_cast("double")
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
