@@ -13,6 +13,7 @@ in the sequence is arithmetic and needs no sort.
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,46 +62,66 @@ class Mixture:
 
     Sources are compared exactly as written. Documents without a source, or of a source without a target, count in the total and are not
     selected. Of targets given twice, shares are added and the larger max_repeats holds; null shares and repeats count as 0.
-    Empty documents keep their place and weigh nothing. An empty corpus gives an empty mixture.
+    Empty documents keep their place and weigh nothing. An empty corpus gives an empty mixture. A share is one of the tokens of all documents: what a capped
+    source can't give is left out, not made up for by others, so that every other source has its target to a block.
+    Nothing runs before a result is asked for.
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, tokenizer: str = TOKENIZER):
-        spark = docs.sparkSession
-        rows = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("repeats")).limit(MAX_SOURCES + 1).collect()
+        self._docs, self._targets, self._blocks, self.shards, self.seed, self._tokenizer = docs, targets, blocks, shards, seed, tokenizer
+
+    @cached_property
+    def _wanted(self) -> dict:
+        rows = self._targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("repeats")).limit(MAX_SOURCES + 1).collect()
         if len(rows) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
-        self.share, self.repeats = {r.source: float(r.share) for r in rows}, {r.source: int(r.repeats) for r in rows}
-        # the one pass over the texts; what follows reads ids and counts from the shared folder
-        self.tokens = materialize(with_tokens(docs.select("doc_id", "source", "text"), "text", path=tokenizer))
-        wanted = F.col("source").isin(list(self.share)) if rows else F.lit(False)
+        return {r.source: (float(r.share), int(r.repeats)) for r in rows}
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """Ids, sources and token counts: the one pass over the texts; what follows reads them from the shared folder."""
+        return materialize(with_tokens(self._docs.select("doc_id", "source", "text"), "text", path=self._tokenizer))
+
+    @cached_property
+    def _counts(self) -> dict:
+        """Source (None: all that have no target) -> tokens and documents. At most one row per target."""
+        wanted = F.col("source").isin(list(self._wanted)) if self._wanted else F.lit(False)
         sums = self.tokens.groupBy(F.when(wanted, F.col("source")).alias("source")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
-        self.total = sum(r.tokens for r in sums)
-        self.have = dict.fromkeys(self.share, 0) | {r.source: int(r.tokens) for r in sums if r.source is not None}
-        self.docs = dict.fromkeys(self.share, 0) | {r.source: int(r.docs) for r in sums if r.source is not None}
-        self.block = max(1, -(-self.total // blocks))
-        self.seats = -(-self.total // self.block) if self.total else 0
-        self.n_blocks = {s: -(-t // self.block) for s, t in self.have.items()}
-        # the quota of a source in blocks, and what its repeats allow
-        ideal = apportion(self.share, self.seats)
-        self.quota = {s: min(q, self.repeats[s] * self.n_blocks[s]) for s, q in ideal.items()}
-        self.capped = {s: self.share[s] * self.total > self.repeats[s] * self.have[s] for s in self.share}
-        ends, so_far = {s: [] for s in self.share}, dict.fromkeys(self.share, 0)
-        for k in range(1, shards + 1):
-            seats = apportion(self.share, self.seats * k // shards)
-            for s in ends:
-                so_far[s] = max(so_far[s], min(seats[s], self.quota[s]))
-                ends[s].append(so_far[s])
-        self.ends = ends
-        buckets = max(1, -(-sum(self.docs.values()) // BUCKET_DOCS))
-        self.rows = self._select(spark, buckets, seed)
+        return {r.source: (int(r.tokens), int(r.docs)) for r in sums}
+
+    @property
+    def total(self) -> int:
+        return sum(t for t, _ in self._counts.values())
+
+    @property
+    def block(self) -> int:
+        return max(1, -(-self.total // self._blocks))
+
+    @cached_property
+    def quotas(self) -> dict[str, dict]:
+        """Per source: share, repeats, tokens, docs, its number of blocks, the seats it is due, the quota its repeats allow of them, and where each shard ends in it."""
+        seats = -(-self.total // self.block) if self.total else 0
+        due = apportion({s: share for s, (share, _) in self._wanted.items()}, seats)
+        out = {}
+        for s, (share, repeats) in self._wanted.items():
+            tokens, docs = self._counts.get(s, (0, 0))
+            n = -(-tokens // self.block)
+            out[s] = {"share": share, "repeats": repeats, "tokens": tokens, "docs": docs, "blocks": n, "due": due[s], "quota": min(due[s], repeats * n), "ends": []}
+        # quotas are apportioned to the shards, so that each has its part of every source, of capped ones too
+        quota = {s: float(q["quota"]) for s, q in out.items()}
+        for k in range(1, self.shards + 1):
+            for s, n in apportion(quota, int(sum(quota.values())) * k // self.shards).items():
+                out[s]["ends"].append(n)
+        return out
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._select(self.tokens.sparkSession, max(1, -(-sum(d for _, d in self._counts.values()) // BUCKET_DOCS)), self.seed)
 
     def _select(self, spark, buckets: int, seed: int) -> DataFrame:
-        facts = [
-            (s, self.n_blocks[s], self.quota[s], self.ends[s], [_start(seed, s, t, self.n_blocks[s]) for t in range(max(0, min(self.repeats[s], -(-self.quota[s] // max(1, self.n_blocks[s])))))])
-            for s in self.share
-        ]
+        facts = [(s, q["blocks"], q["quota"], q["ends"], [_start(seed, s, t, q["blocks"]) for t in range(-(-q["quota"] // max(1, q["blocks"])))]) for s, q in self.quotas.items()]
         plan = F.broadcast(spark.createDataFrame(facts, "source string, _nb bigint, _quota bigint, _ends array<bigint>, _starts array<bigint>"))  # at most MAX_SOURCES rows
-        docs = self.tokens.where(F.col("source").isin(list(self.share)) if self.share else F.lit(False))
+        docs = self.tokens.where(F.col("source").isin(list(self.quotas)) if self.quotas else F.lit(False))
         docs = docs.withColumn("_r", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_bucket", F.pmod("_r", F.lit(buckets)))
         sums = docs.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_t"))
         first = sums.select("source", "_bucket", (F.sum("_t").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_t")).alias("_first"))
@@ -115,16 +136,21 @@ class Mixture:
         return chosen.select("doc_id", "source", "n_tokens", "block", F.col("x.turn").cast("int").alias("repeat"), shard.alias("shard"))
 
     def report(self) -> DataFrame:
-        """One row per target: what was asked, what there is, what was reached. target_met is exact, by tokens."""
+        """One row per target: what was asked, what there is, what was reached. Shares reached are given of the mixture and of the tokens of all documents.
+
+        ``target_met`` is read off the mixture: a source falls short if its selected tokens do by more than a block, one more for each pass (the last
+        block of a source is not full) and the longest of its selected documents (a document is in the block of its first token). Nearer to the target the mixture can't tell, and the tokens at hand, as often as they may be repeated, decide.
+        """
         spark = self.tokens.sparkSession
-        facts = [
-            (s, self.share[s], self.repeats[s], self.have[s], self.docs[s], self.share[s] * self.total, self.quota[s], not self.capped[s]) for s in self.share
-        ]
-        plan = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, source_tokens bigint, source_docs bigint, target_tokens double, quota_blocks bigint, target_met boolean")
-        got = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("mixture_tokens"), F.count(F.lit(1)).alias("mixture_docs"), F.max("repeat").alias("_most"))
+        facts = [(s, q["share"], q["repeats"], q["tokens"], q["docs"], q["share"] * self.total, q["due"], q["quota"]) for s, q in self.quotas.items()]
+        plan = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, source_tokens bigint, source_docs bigint, target_tokens double, due_blocks bigint, quota_blocks bigint")
+        got = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("mixture_tokens"), F.count(F.lit(1)).alias("mixture_docs"), F.max("repeat").alias("_most"), F.max("n_tokens").alias("_longest"))
         out = plan.join(F.broadcast(got), "source", "left")  # at most MAX_SOURCES rows
         got_tokens = F.coalesce("mixture_tokens", F.lit(0))
+        short = F.col("target_tokens") - got_tokens
+        at_hand = F.col("target_tokens") <= F.col("max_repeats") * F.col("source_tokens")
+        met = F.when(F.abs(short) > self.block * (F.coalesce("_most", F.lit(0)) + 2) + F.coalesce("_longest", F.lit(0)), short < 0).otherwise(at_hand)
         return out.select(
-            *plan.columns, got_tokens.alias("mixture_tokens"), F.coalesce("mixture_docs", F.lit(0)).alias("mixture_docs"), F.coalesce(F.col("_most") + 1, F.lit(0)).alias("most_repeats"),
+            *plan.columns, got_tokens.alias("mixture_tokens"), F.coalesce("mixture_docs", F.lit(0)).alias("mixture_docs"), F.coalesce(F.col("_most") + 1, F.lit(0)).alias("most_repeats"), met.alias("target_met"),
             F.try_divide(got_tokens, F.sum(got_tokens).over(Window.partitionBy())).alias("share_of_mixture"), F.try_divide(got_tokens, F.lit(float(self.total))).alias("share_of_corpus_tokens"),
         )

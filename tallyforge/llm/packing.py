@@ -4,7 +4,7 @@ Each document is placed where the sum over all residual gaps of the squared numb
 smallest. Documents longer than a container are cut into full containers and one remainder, which is packed like a document.
 
 Packing is online within a shard. Shards are formed by a hash of the document id and hold about ``shard_docs`` documents each,
-whatever the layout of the input, so no task grows with the corpus; only ids and token counts are shuffled. The space
+whatever the layout of the input, so no task grows with the corpus; each is packed by a task of its own, and only ids and token counts are shuffled. The space
 left in the last open containers of a shard is a fixed amount against thousands of full ones.
 """
 
@@ -65,7 +65,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     """
     sized = with_tokens(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", "doc_tokens", tokenizer)
     shards = max(1, -(-docs.count() // shard_docs))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    # every shard is one task of its own, however few bytes it has: packing is bound by time
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", kind="stable")

@@ -57,6 +57,22 @@ def test_shares_and_repeats(corpus):
     assert sorted(rows) == sorted(again)
 
 
+def test_found_holds_the_mixture_and_shards_are_even(corpus):
+    m = Mixture(*corpus, blocks=400, shards=5)
+    found = m.report().where("NOT target_met").select("source")
+    assert {r.source for r in found.collect()} == {s for s, q in m.quotas.items() if q["share"] * m.total > q["repeats"] * q["tokens"]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Window" in plan and "n_tokens" in plan
+    sizes, small = {}, {}
+    for r in m.rows.collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.n_tokens
+        small[r.shard] = small.get(r.shard, 0) + (r.source == "mid")
+    assert max(sizes.values()) < 1.15 * min(sizes.values()) and len(small) == 5 and min(small.values()) > 0
+    for q in m.quotas.values():
+        steps = [b - a for a, b in zip([0, *q["ends"]], q["ends"])]
+        assert sum(steps) == q["quota"] and max(steps) - min(steps) <= 2
+
+
 def test_empty(corpus):
     docs, targets = corpus
     m = Mixture(docs.limit(0), targets)

@@ -78,3 +78,14 @@ def test_count_is_the_tokenizer_s():
         assert count(t) == len(encoding(TOKENIZER).encode_ordinary(t.encode("utf-8", "replace").decode()))
     assert count(None) == count("") == 0
     assert count("ab " * 40_000) > 40_000
+
+
+def test_endless_blanks_and_words_are_counted_whole(monkeypatch):
+    from tallyforge.llm import tokens
+
+    mixed = "a  b   c" + " " * 30 + "x\n\n\n  y's 12,345" + " " * 7
+    whole = count(mixed)
+    monkeypatch.setattr(tokens, "ENDLESS", 5)
+    assert tokens.count(mixed) == whole
+    monkeypatch.undo()
+    assert count(" " * 3_000_000 + "x") > 1_000 and count("word" * 100_000) > 1_000
