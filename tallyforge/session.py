@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +34,36 @@ def materialize(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a local
     run) a folder of this machine is set. Reliable checkpoints survive the loss of executors.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyforge-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``materialize``, but as a compressed table in that folder, of which later steps read only the columns they need. Removed when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    except Exception:  # the session has ended before; the folder is the cluster's to clean
+        pass
 
 
 def broadcast_within(df: DataFrame, rows: int, limit: int) -> DataFrame:
