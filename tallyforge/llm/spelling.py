@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіѕјкмтвнԁԛɡαοερτυνικ", "aeopcyxisjkmtbhdqgaoeptuvik")
@@ -19,6 +20,10 @@ SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?: [^\W\d_]){3,}(?![^\W_])|(?<![^\W_])
 WORD = re.compile(r"(?:[^\W_]|[@$!|*#€](?=[^\W_@$!|*#€]|[*#]))+(?:[*#]+[^\W_]*)*")
 RUN = re.compile(r"([^\W\d])\1{2,}")
 MASK = re.compile(r"[*#]{2,}")
+#: What the patterns above can only match with; looked for first, as most segments have none of it.
+DIGITS, JOINTS, MASKS = frozenset("0123456789"), frozenset("._-"), frozenset("@$!|*#€")
+#: ASCII characters that are no letter or digit become blanks.
+PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
 def segments(text: str | None) -> list[str]:
@@ -37,8 +42,12 @@ def fold(segment: str) -> str:
     s = s.lower()
     if not s.isascii():
         s = s.translate(LOOKALIKES).replace("ß", "ss")
-    s = CODE.sub("0", s)
-    return SPACED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), s)
+    chars = set(s)
+    if not chars.isdisjoint(DIGITS) or not s.isascii():
+        s = CODE.sub("0", s)
+    if not JOINTS.isdisjoint(s[:-1]) or sum(len(w) == 1 for w in s.split()) > 3:
+        s = SPACED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), s)
+    return s
 
 
 def _letters(word: str) -> str:
@@ -47,20 +56,36 @@ def _letters(word: str) -> str:
 
 
 def words(folded: str) -> list[str]:
-    found = [w if w.isalpha() or w == "0" else _letters(w) for w in WORD.findall(folded)]
-    return RUN.sub(r"\1", " ".join(found)).split(" ") if found else []
+    chars = set(folded)
+    if folded.isascii() and chars.isdisjoint(MASKS):
+        found = folded.translate(PLAIN).split()
+        if not chars.isdisjoint(DIGITS):
+            found = [w if w.isalpha() or w == "0" else _letters(w) for w in found]
+    else:
+        found = [w if w.isalpha() or w == "0" else _letters(w) for w in WORD.findall(folded)]
+    joined = " ".join(found)
+    if any(c * 3 in joined for c in set(joined)):
+        joined = RUN.sub(r"\1", joined)
+    return joined.split(" ") if found else []
+
+
+@lru_cache(maxsize=200_000)
+def _word_features(w: str) -> tuple[tuple[str, float], ...]:
+    out = [("w" + w, 1.0)]
+    if len(w) > 2:
+        p = f"<{w}>"
+        out += [("g" + p[i : i + 4], 0.5) for i in range(len(p) - 3)]
+        out.append((f"s{w[0]}{w[-1]}{min(9, len(w))}", 0.3))
+    return tuple(out)
 
 
 def features(ws: list[str]) -> dict[str, float]:
-    """Words, pairs of neighbours, character runs of four and, for masked words, first and last letter."""
+    """How often each word, pair of neighbours, character run of four and (for masked words) first and last letter occurs, times the weight of its kind."""
     out: dict[str, float] = {}
     for w in ws:
-        out["w" + w] = 1.0
-        if len(w) > 2:
-            p = f"<{w}>"
-            for i in range(len(p) - 3):
-                out["g" + p[i : i + 4]] = 0.5
-            out[f"s{w[0]}{w[-1]}{min(9, len(w))}"] = 0.3
+        for k, v in _word_features(w):
+            out[k] = out.get(k, 0.0) + v
     for a, b in zip(ws, ws[1:]):
-        out[f"b{a} {b}"] = 0.7
+        k = f"b{a} {b}"
+        out[k] = out.get(k, 0.0) + 0.7
     return out

@@ -8,8 +8,8 @@ through block-max inverted indexes; a document has the vote of its highest segme
 leave-one-document-out votes.
 
 The examples come from at most ``max_labelled`` labelled documents (a bounded, hash-chosen sample; a parameter); everything else covers every
-segment of every document. Scoring is one map over the documents, without a shuffle: the index is broadcast, its size is bounded by the
-sample. Equal segments are scored once per worker.
+segment of every document. Texts are read once: a map folds them into segments, which are written to the shared folder. Every distinct segment of the corpus
+is then scored once, against the broadcast index (its size is bounded by the sample), and those with a vote are joined back to their documents by a hash.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 
 from tallyforge.llm.similar import BlockMaxIndex
 from tallyforge.llm.spelling import features, fold, segments, words
+from tallyforge.session import written
 
 MAX_LABELLED = 15_000
 NEIGHBOURS = 8
@@ -51,7 +52,10 @@ CATEGORIES = ["abusive", "hateful", "sexual"]
 
 def segment_units(segment: str) -> list[tuple[str, ...]]:
     """The words of a segment, and of windows over it if it is long."""
-    w = tuple(words(fold(segment)))
+    return word_units(tuple(words(fold(segment))))
+
+
+def word_units(w: tuple[str, ...]) -> list[tuple[str, ...]]:
     if len(w) <= LONG_SEGMENT:
         return [w] if w else []
     return [w, *(w[a : a + WINDOW] for a in range(0, len(w) - WINDOW + STRIDE, STRIDE))]
@@ -179,7 +183,8 @@ def fit(docs: list[tuple[int, str, float, str]], counts: dict[tuple, int] | None
         return Model()
     pos = np.array([sum(bool(toxic_doc[i]) for i in own[k]) for k in keys], float)
     n = np.array([len(own[k]) for k in keys], float)
-    index = BlockMaxIndex([features(list(k)) for k in keys])
+    found = {k: features(list(k)) for k in keys}
+    index = BlockMaxIndex(list(found.values()))
     ids, sims = _search(index, keys, NEIGHBOURS + 6)
     self_ = ids == np.arange(len(keys))[:, None]
     sims = np.where(ids >= 0, sims, 0.0)
@@ -224,8 +229,8 @@ def fit(docs: list[tuple[int, str, float, str]], counts: dict[tuple, int] | None
         [keys[i] for i in order], y[order], np.minimum(n[order], 3.0), [docs[min(own[keys[i]])][0] for i in order],
         [next((docs[d][3] for d in sorted(own[keys[i]]) if toxic_doc[d]), "none") for i in order],
     )
-    model.every = BlockMaxIndex([features(list(k)) for k in model.keys])
-    model.toxic_only = BlockMaxIndex([features(list(k)) for k, t in zip(model.keys, model.toxic) if t > 0])
+    model.every = BlockMaxIndex([found[k] for k in model.keys])
+    model.toxic_only = BlockMaxIndex([found[k] for k, t in zip(model.keys, model.toxic) if t > 0])
     held = np.zeros(len(docs))  # votes without the document's own segments
     for k in np.flatnonzero(pos + n > 0):
         for i in own[keys[k]]:
@@ -246,24 +251,30 @@ def _curve(vote: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Scorer:
-    """Scores documents against a model; keeps the votes of units it has seen (at most CACHE, then it starts anew)."""
+    """Scores folded segments against a model; keeps the votes of units it has seen (at most CACHE, then it starts anew)."""
 
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
 
-    def __call__(self, texts: list[str | None]) -> list[tuple]:
-        """(probability, vote, category, segment, example's doc_id, example's words, cosine) per text."""
-        split = [units(t) for t in texts]
+    def segments(self, folded: list[tuple[str, ...]]) -> list[tuple]:
+        """(vote, category, unit, example's doc_id, example's words, cosine) per segment, of its highest unit; the vote is 0 and the rest null where nothing toxic is near."""
+        split = [word_units(w) for w in folded]
         if len(self.seen) > CACHE:
             self.seen.clear()
         new = list({u for us in split for u in us} - self.seen.keys())
         self.seen.update(zip(new, self.model.votes(new)))
         out = []
         for us in split:
-            best, unit = max(((self.seen[u], u) for u in us), key=lambda x: (x[0][0], x[0][2]), default=((0.0, -1, 0.0), ()))
-            vote, k, sim = best
-            said = (self.model.category[k], " ".join(unit), self.model.doc[k], " ".join(self.model.keys[k]), sim) if k >= 0 else (None,) * 5
-            out.append((self.model.probability(vote), vote, *said))
+            (vote, k, sim), unit = max(((self.seen[u], u) for u in us), key=lambda x: (x[0][0], x[0][2]), default=((0.0, -1, 0.0), ()))
+            out.append((vote, self.model.category[k], " ".join(unit), self.model.doc[k], " ".join(self.model.keys[k]), sim) if k >= 0 else (0.0, *[None] * 5))
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        """(probability, vote, category, unit, example's doc_id, example's words, cosine) per text."""
+        out = []
+        for t in texts:
+            best = max(self.segments([tuple(words(fold(s))) for s in segments(t)]), key=lambda x: (x[0], x[5] or 0.0), default=(0.0, *[None] * 5))
+            out.append((self.model.probability(best[0]), *best))
         return out
 
 
@@ -276,62 +287,85 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int =
     return sorted((r.doc_id, r.text, r.share, r.kind or "none") for r in rows)
 
 
-def corpus_counts(documents: DataFrame, wanted: list[tuple[str, ...]]) -> tuple[dict[tuple, int], int]:
-    """Of all distinct texts, how many hold each wanted unit, and how many there are. Added up on the workers; as many rows come back as are wanted.
-
-    Copies are told by a digest of the text; only that and the numbers of the units found are shuffled.
-    """
+def folded_documents(documents: DataFrame, wanted: list[tuple[str, ...]]) -> DataFrame:
+    """(row, doc_id, source, digest, units, segments) of every document, written once: a digest of the text, which wanted units it holds, and its distinct folded segments."""
     shared = documents.sparkSession.sparkContext.broadcast({u: i for i, u in enumerate(wanted)})
+    source = documents.select("doc_id", "source", "text")
+    schema = StructType([*source.schema.fields[:2], *StructType.fromDDL("digest binary, units array<int>, segments array<string>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
-        seen: dict[str, list] = {}
+        seen: dict[str, tuple[str, list[int]]] = {}
         for b in batches:
-            found: dict[bytes, list[int]] = {}
-            for text in b.column(0).to_pylist():
-                digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if digest in found:
-                    continue
-                hits: set[int] = set()
+            digests, hits, folded = [], [], []
+            for text in b.column(2).to_pylist():
+                found, parts = set(), {}
                 for s in segments(text):
                     if s not in seen:
                         if len(seen) > CACHE:
                             seen.clear()
-                        seen[s] = [place[u] for u in segment_units(s) if u in place]
-                    hits.update(seen[s])
-                found[digest] = [-1, *sorted(hits)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["digest", "units"])
-
-    texts = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "digest binary, units array<int>").groupBy("digest").agg(F.first("units").alias("units"))
-    rows = texts.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("texts")).collect()
-    got = {r.unit: r.texts for r in rows}
+                        w = tuple(words(fold(s)))
+                        seen[s] = (" ".join(w), [place[u] for u in word_units(w) if u in place])
+                    key, units_of = seen[s]
+                    if key:
+                        parts[key] = None
+                        found.update(units_of)
+                digests.append(None if text is None else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                hits.append(sorted(found))
+                folded.append(list(parts))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(hits, pa.list_(pa.int32())), pa.array(folded, pa.list_(pa.string()))], names=schema.names)
+
+    return written(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+
+
+def unit_counts(folded: DataFrame, wanted: list[tuple[str, ...]]) -> tuple[dict[tuple, int], int]:
+    """Of all distinct texts, how many hold each wanted unit, and how many there are. As many rows come back as are wanted; copies are told by their digests."""
+    each = folded.where(F.col("digest").isNotNull()).select("digest", F.explode(F.array_append("units", F.lit(-1))).alias("unit")).distinct()
+    got = {r.unit: r.texts for r in each.groupBy("unit").agg(F.count(F.lit(1)).alias("texts")).collect()}
     return {u: got.get(i, 0) for i, u in enumerate(wanted)}, got.get(-1, 0)
 
 
+def corpus_counts(documents: DataFrame, wanted: list[tuple[str, ...]]) -> tuple[dict[tuple, int], int]:
+    return unit_counts(folded_documents(documents, wanted), wanted)
+
+
 def score(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per document: doc_id, source, score (probability), vote, category, segment, example_doc_id, example, similarity.
 
     Null and empty texts have no segment and vote 0. Repeated documents get equal rows. Without any toxic label every vote is 0. Extra columns are not
-    carried along.
+    carried along. Of segments with equal votes the one more like its example counts, then the later in order of letters.
     """
     sc = documents.sparkSession.sparkContext
     sample = labelled_sample(documents, labels, max_labelled)
     wanted = candidates(sample)
-    shared = sc.broadcast(fit(sample, *corpus_counts(documents, wanted)) if wanted else Model())
-    source = documents.select("doc_id", "source", "text")
+    folded = folded_documents(documents, wanted)
+    model = fit(sample, *unit_counts(folded, wanted)) if wanted else Model()
+    shared = sc.broadcast(model)
+    kinds = "vote double, category string, segment string, example_doc_id bigint, example string, similarity double"
+    names = StructType.fromDDL(kinds).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
+        types = [pa.float64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.float64()]
         for b in batches:
             for at in range(0, b.num_rows, 2_000):
                 part = b.slice(at, 2_000)
-                got = list(zip(*scorer(part.column(2).to_pylist())))
-                kinds = [pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(g, k) for g, k in zip(got, kinds))], names=names)
-
-    schema = StructType([*source.schema.fields[:2], *StructType.fromDDL("score double, vote double, category string, segment string, example_doc_id bigint, example string, similarity double").fields])
-    names = schema.names
-    return source.mapInArrow(run, schema)
+                got = scorer.segments([tuple(x.split(" ")) for x in part.column(0).to_pylist()])
+                use = [i for i, g in enumerate(got) if g[0] > 0]
+                columns = zip(*[got[i] for i in use]) if use else [[] for _ in types]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(use, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["folded", *names])
+
+    key = [F.xxhash64("folded").alias("k1"), F.hash("folded").alias("k2")]  # 96 bits
+    # scoring is bound by time, not bytes: the distinct segments are spread over all cores whatever their size
+    distinct = folded.select(F.explode("segments").alias("folded")).distinct().repartition(2 * sc.defaultParallelism, "folded")
+    scored = distinct.mapInArrow(run, f"folded string, {kinds}").select(*key, *names)
+    pairs = folded.select("row", F.explode("segments").alias("folded")).select("row", *key)
+    order = F.struct("vote", "similarity", "segment", "category", "example_doc_id", "example")
+    best = pairs.join(scored, ["k1", "k2"]).groupBy("row").agg(F.max(order).alias("x"))
+    out = folded.select("row", "doc_id", "source").join(best, "row", "left")
+    vote = F.coalesce("x.vote", F.lit(0.0))
+    bent = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * (vote - model.middle)))
+    return out.select("doc_id", "source", (1 / (1 + F.exp(-bent))).alias("score"), vote.alias("vote"), *[F.col(f"x.{c}").alias(c) for c in ("category", "segment", "example_doc_id", "example", "similarity")])
 
 
 def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
