@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-from datetime import UTC, datetime
+import math
+from datetime import UTC, date, datetime
+from decimal import Decimal
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from tallyforge.errors import DeleteMatchedNothing, NoBackup, UpdateMatchedNothing
 from tallyforge.operators.quality import ROW_ID
@@ -20,19 +23,58 @@ CUT_EVERY = 25
 SHOWN = 5
 
 
+JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "outer", "full": "outer", "fullouter": "outer", "full_outer": "outer"}
+
+
+def _kind(v) -> type[DataType] | tuple | None:
+    """The column types a value can be told from or stored in as it is."""
+    if isinstance(v, (bool, int, float, Decimal)):
+        return (NumericType, BooleanType)
+    if isinstance(v, (date, datetime)):
+        return (DateType, TimestampType, TimestampNTZType)
+    return StringType if isinstance(v, str) else None
+
+
+def _equals(c: Column, dtype: DataType, v) -> Column:
+    """Equality of values of one kind; others are never equal, and nothing is cast that might fail. Truth values equal 1 and 0, texts are read as times beside times."""
+    nothing = F.lit(False)
+    if v is None or isinstance(v, float) and math.isnan(v) or isinstance(v, int) and abs(v) >= 2**63:
+        return nothing
+    if isinstance(v, str) and isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
+        return c.cast("timestamp") == F.lit(v).try_cast("timestamp")
+    kind = _kind(v)
+    if kind is None or not isinstance(dtype, kind):
+        return nothing
+    if isinstance(dtype, BooleanType) or isinstance(v, bool):
+        return c.cast("double") == F.lit(float(v))
+    return c == F.lit(v)
+
+
 def matches(df: DataFrame, where: dict) -> Column:
-    """All given columns equal the given values; never null. An unknown column or a None matches nothing."""
-    tests = [F.coalesce(F.col(f"`{c}`") == F.lit(v), F.lit(False)) if c in df.columns and v is not None else F.lit(False) for c, v in where.items()]
+    """All given columns equal the given values; never null. An unknown column, a None or a value of another kind than the column matches nothing."""
+    tests = [F.coalesce(_equals(F.col(f"`{c}`"), df.schema[c].dataType, v), F.lit(False)) if c in df.columns else F.lit(False) for c, v in where.items()]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def _stored(df: DataFrame, c: str, v) -> tuple[Column, Column]:
+    """(the column, the value) in a type that holds both: texts where the kinds differ."""
+    if c not in df.columns:
+        return F.lit(None), F.lit(v)
+    old, dtype = F.col(f"`{c}`"), df.schema[c].dataType
+    if v is None:
+        return old, F.lit(None).cast(dtype)
+    kind = _kind(v)
+    same = kind is not None and isinstance(dtype, kind) and isinstance(dtype, BooleanType) == isinstance(v, bool)
+    return (old, F.lit(v)) if same else (old.cast("string"), F.lit(str(v)))
+
+
 def update_rows(df: DataFrame, where: dict, values: dict) -> DataFrame:
-    """Matching rows get the values; a column that isn't there is added (null elsewhere)."""
+    """Matching rows get the values; a column that isn't there is added (null elsewhere), one of another kind than its value becomes text."""
     hit = matches(df, where)
     out = df.withColumn("_hit", hit)
     for c, v in values.items():
-        old = F.col(f"`{c}`") if c in df.columns else F.lit(None)
-        out = out.withColumn(c, F.when(F.col("_hit"), F.lit(v)).otherwise(old))
+        old, new = _stored(df, c, v)
+        out = out.withColumn(c, F.when(F.col("_hit"), new).otherwise(old))
     return out.drop("_hit")
 
 
@@ -49,8 +91,9 @@ def insert_row(df: DataFrame, row: dict) -> DataFrame:
 
 def merge_frames(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Equi-join on one key where null keys match each other; clashing columns get _x and _y."""
-    if how == "cross":
-        raise ValueError("a cross join takes no key")
+    if how not in JOINS:
+        raise ValueError(f"{how!r}: a keyed merge is one of {', '.join(JOINS)}")
+    how = JOINS[how]
     a, b = left.alias("a"), right.alias("b")
     clash = (set(left.columns) & set(right.columns)) - {on}
     key = {"inner": F.col(f"a.`{on}`"), "left": F.col(f"a.`{on}`"), "right": F.col(f"b.`{on}`"), "outer": F.coalesce(F.col(f"a.`{on}`"), F.col(f"b.`{on}`"))}[how]
@@ -90,11 +133,12 @@ class DataAsset:
         n = hit.count()
         if not n:
             raise UpdateMatchedNothing(where)
-        known = [f"`{c}`" for c in values if c in self._df.columns]
-        before = self._shown(hit.select(*known)) if known else []
-        new = update_rows(self._df, where, values)
-        after = self._shown(update_rows(hit, where, values).select(*[f"`{c}`" for c in values]))
-        self._become(new)
+        # both states of the same rows, from one select
+        pair = [F.struct(*[F.col(f"`{c}`") for c in values if c in self._df.columns]).alias("old")] if set(values) & set(self._df.columns) else []
+        new = [F.struct(*[_stored(self._df, c, v)[1].alias(c) for c, v in values.items()]).alias("new")] if values else []
+        shown = hit.select(*pair, *new).limit(SHOWN).collect() if pair or new else []
+        before, after = ([r[k].asDict() for r in shown] if part else [] for k, part in (("old", pair), ("new", new)))
+        self._become(update_rows(self._df, where, values))
         return self._log("update", where=where, values=values, rows_affected=n, columns_affected=list(values), before=before, after=after)
 
     def insert(self, row: dict) -> dict:

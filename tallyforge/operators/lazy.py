@@ -10,32 +10,92 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.errors import DestructiveStatement
-from tallyforge.session import get_spark
+from tallyforge.session import get_spark, is_uri, suffix_of
 
-#: Plan nodes of statements that change something; everything that isn't a query is refused.
+#: Plan nodes of queries; every other node anywhere in a statement is refused, so that nothing is changed and no program is run.
 QUERY_NODES = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "Except", "Intersect", "UnresolvedWith", "UnresolvedRelation", "SubqueryAlias", "Join",
     "UnresolvedHaving", "Pivot", "Unpivot", "Generate", "LateralJoin", "OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "WithWindowDefinition", "UnresolvedSubqueryColumnAliases", "Sample",
-    "UnresolvedTableValuedFunction", "Window", "Range", "Offset", "Tail", "UnresolvedOrderedRelation", "UnresolvedTransposeRelation", "ScriptInputOutputSchema", "PlanWithUnresolvedIdentifier",
-    "UnresolvedHint", "ResolvedInlineTable", "Deduplicate", "View", "UnionLoop", "InlineTable", "WithCTE", "CTERelationRef",
+    "UnresolvedTableValuedFunction", "Window", "Range", "Offset", "Tail", "UnresolvedOrderedRelation", "UnresolvedTransposeRelation", "UnresolvedHint", "ResolvedInlineTable", "Deduplicate", "UnionLoop",
+    "InlineTable", "WithCTE", "CTERelationRef", "UnresolvedTVFAliases", "AsOfJoin",
 }
-_CLAUSE = re.compile(r"\s*,\s*(?![^(]*\))")
+#: Functions that call methods of the virtual machine or tell about the machine.
+REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "user", "version"}
+_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|`[^`]*`", re.S)
 
 
-def check_query(spark: SparkSession, sql: str) -> None:
-    """Refuses everything whose plan isn't a query; Spark itself refuses several statements in one text."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+def _all(seq) -> list:
+    return [seq.apply(i) for i in range(seq.length())]
+
+
+def _visit(plan, known: set[str]) -> None:
     kind = plan.getClass().getSimpleName()
     if kind not in QUERY_NODES:
         raise DestructiveStatement(kind)
+    if kind == "UnresolvedWith":
+        known = known | {x._1().lower() for x in _all(plan.cteRelations())}
+        for x in _all(plan.cteRelations()):
+            _visit(x._2(), known)
+    if kind == "UnresolvedRelation":
+        parts = _all(plan.multipartIdentifier())
+        if len(parts) != 1 or parts[0].lower() not in known:
+            raise DestructiveStatement(f"reading {'.'.join(parts)}")
+    if kind == "UnresolvedTableValuedFunction":
+        _function(_all(plan.name()))
+    for e in _all(plan.expressions()):
+        _expression(e, known)
+    for child in _all(plan.children()):
+        _visit(child, known)
+
+
+def _function(parts: list[str]) -> None:
+    if parts[-1].lower() in REFUSED_FUNCTIONS:
+        raise DestructiveStatement(f"calling {parts[-1]}")
+
+
+def _expression(e, known: set[str]) -> None:
+    if e.getClass().getSimpleName() == "UnresolvedFunction":
+        _function(_all(e.nameParts()))
+    if hasattr(e, "plan") and e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        _visit(e.plan(), known)
+    for child in _all(e.children()):
+        _expression(child, known)
+
+
+def check_query(spark: SparkSession, sql: str, relations: tuple[str, ...] = ("data",)) -> None:
+    """Refuses everything whose plan isn't a query over the named relations, down to the last subquery; Spark itself refuses several statements in one text."""
+    _visit(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), {r.lower() for r in relations})
+
+
+#: The letters of strftime and what they are in Spark.
+STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "b": "MMM", "B": "MMMM", "j": "DDD", "a": "EEE", "A": "EEEE", "I": "hh", "p": "a", "f": "SSSSSS", "%": "%"}
+
+
+def _pattern(fmt: str) -> str:
+    out = "".join(STRFTIME.get(x[1], x) if x[0] == "%" and len(x) > 1 else f"\\'{x}\\'" if x.isalpha() else x for x in re.findall(r"%.|[^%]", fmt, re.S))
+    return out.replace("\\'\\'", "")
 
 
 def to_spark_dialect(sql: str) -> str:
-    """Rewrites forms of the other common dialect that Spark doesn't parse: ``EXCLUDE``, ``quantile_cont``, ``date_diff('unit', ...)``, ``strftime``."""
+    """Rewrites forms of the other common dialect that Spark doesn't parse: ``EXCLUDE``, ``quantile_cont``, ``date_diff('unit', ...)``, ``strftime``, ``AS TEXT`` and names in double quotes.
+
+    Literals and comments are set aside first, so nothing inside them changes.
+    """
+    kept: list[str] = []
+
+    def put_aside(m: re.Match) -> str:
+        kept.append(m[0])
+        return f"\x00{len(kept) - 1}\x00"
+
+    sql = _LITERAL.sub(put_aside, sql)
+    sql = re.sub(r'"((?:[^"]|"")*)"', lambda m: put_aside(re.match(r"(?s).*", "`" + m[1].replace('""', '"').replace("`", "``") + "`")), sql)
+    literal = lambda n: kept[int(n)][1:-1]
     sql = re.sub(r"\*\s+EXCLUDE\b", "* EXCEPT", sql, flags=re.I)
     sql = re.sub(r"\bquantile_cont\s*\(", "percentile(", sql, flags=re.I)
-    sql = re.sub(r"\bdate_diff\s*\(\s*'(\w+)'\s*,", r"datediff(\1,", sql, flags=re.I)
-    return re.sub(r"\bCAST\s*\((.*?)\bAS\s+TEXT\s*\)", r"CAST(\1AS STRING)", sql, flags=re.I | re.S)
+    sql = re.sub(r"\bdate_diff\s*\(\s*\x00(\d+)\x00\s*,", lambda m: f"datediff({literal(m[1])},", sql, flags=re.I)
+    sql = re.sub(r"\bstrftime\s*\(((?:[^()]|\([^()]*\))*?),\s*\x00(\d+)\x00\s*\)", lambda m: f"date_format({m[1]}, '{_pattern(literal(m[2]))}')", sql, flags=re.I)
+    sql = re.sub(r"\bAS\s+TEXT\s*\)", "AS STRING)", sql, flags=re.I)
+    return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], sql)
 
 
 class LargeDataAsset:
@@ -45,8 +105,8 @@ class LargeDataAsset:
         if isinstance(source, DataFrame):
             self.path, self._df = None, source
         else:
-            self.path, spark = Path(source), spark or get_spark()
-            suffix = self.path.suffix.lower()
+            self.path, spark = source if is_uri(source) else Path(source), spark or get_spark()
+            suffix = suffix_of(source)
             if suffix == ".csv":
                 self._df = spark.read.csv(str(source), header=True, inferSchema=True)
             elif suffix == ".parquet":
@@ -73,7 +133,7 @@ class LargeDataAsset:
         if where:
             text += f" WHERE {where}"
         text += f" GROUP BY {group_by}" + (f" ORDER BY {order_by}" if order_by else "") + (f" LIMIT {int(limit)}" if limit else "")
-        check_query(self._session, text)
+        check_query(self._session, text, (self._view,))
         return self._session.sql(text)
 
     def query(self, sql: str) -> DataFrame:

@@ -5,9 +5,13 @@ Every report over all columns is one aggregate job. Columns that hold arrays, ma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StringType, StructType, TimestampNTZType, TimestampType
 
@@ -19,8 +23,10 @@ ROW_ID = "_row_id"
 INTEGERS = (ByteType, ShortType, IntegerType, LongType)
 FLOATS = (FloatType, DoubleType, DecimalType)
 NUMERIC_LABELS = ("integer", "float")
-DATE_SAMPLE = 200
-WIDE = 24
+#: Relative error of a distinct estimate that counts as possible (several standard errors of a sketch of 2 ** SKETCH registers); nearer to a threshold columns are counted exactly.
+SKETCH, SKETCH_ERROR = 12, 0.08
+#: Ranges into which a column's distinct values are cut for exact quantiles; only those that hold a wanted rank are put in order.
+RANGES = 256
 DATE_RATIO, DATE_HINT_RATIO = 0.85, 0.5
 
 
@@ -64,32 +70,48 @@ def cell_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def date_ratios(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Share of the first DATE_SAMPLE non-null values that parse as dates; the sample is the rule's own."""
-    out = {}
-    for c in columns:
-        order = [ROW_ID] if ROW_ID in df.columns else []
-        sample = df.where(F.col(f"`{c}`").isNotNull())
-        sample = (sample.orderBy(*order) if order else sample).limit(DATE_SAMPLE)
-        r = sample.agg(F.avg(parse_date(F.col(f"`{c}`")).isNotNull().cast("double")).alias("r")).first()
-        out[c] = r.r or 0.0
-    return out
+def sketched(df: DataFrame) -> dict:
+    """Facts of every column from one pass without a shuffle of cells: filled, estimated distinct values, mean length and, for texts, the share that parses as dates."""
+    cols = data_columns(df)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(cols):
+        v, text = F.col(f"`{c}`"), F.col(f"`{c}`").cast("string")
+        aggs += [F.count(v).alias(f"n{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(text, F.lit(SKETCH))).alias(f"d{i}"), F.avg(F.length(text)).alias(f"l{i}")]
+        if isinstance(df.schema[c].dataType, StringType):
+            aggs.append(F.count(parse_date(v)).alias(f"t{i}"))
+    r = df.agg(*aggs).first().asDict()
+    return {c: {"rows": r["rows"], "filled": r[f"n{i}"], "distinct": r[f"d{i}"] or 0, "mean_length": r[f"l{i}"], "dates": r.get(f"t{i}", 0)} for i, c in enumerate(cols)}
 
 
 def detect_types(df: DataFrame) -> dict[str, str]:
-    """Column -> unknown, boolean, datetime, date, identifier, integer, float, categorical or text."""
+    """Column -> unknown, boolean, datetime, date, identifier, integer, float, categorical or text.
+
+    Distinct values are estimated in one pass over all rows; only columns whose estimate lies near a threshold of the rules are counted exactly. A text column is
+    one of dates by the share of all its values that parse.
+    """
     df = flatten(df)
     cols = data_columns(df)
-    stats = {r.column_name: r for r in cell_counts(df).collect()} if cols else {}
-    strings = [c for c in cols if isinstance(df.schema[c].dataType, StringType) and c in stats and stats[c].filled]
-    ratios = date_ratios(df, strings)
+    stats = sketched(df) if cols else {}
+
+    def near(c: str) -> bool:
+        s, t = stats[c], df.schema[c].dataType
+        if not s["filled"] or isinstance(t, (BooleanType, TimestampType, TimestampNTZType, DateType, *FLOATS)):
+            return False
+        close = lambda limit: abs(s["distinct"] - limit) <= SKETCH_ERROR * limit + 2
+        return close(20) or any(close(x * s["rows"]) for x in (0.5, 0.9, 0.95))
+
+    exact = [c for c in cols if near(c)]
+    if exact:
+        for r in cell_counts(df.select(*[F.col(f"`{c}`") for c in exact])).collect():
+            stats[r.column_name]["distinct"] = r.distinct_values
     labels = {}
     for c in cols:
-        t, s = df.schema[c].dataType, stats.get(c)
-        if s is None or not s.filled:
+        t, s = df.schema[c].dataType, stats[c]
+        distinct, n = s["distinct"], s["rows"]
+        if not s["filled"]:
             labels[c] = "unknown"
             continue
-        full, distinct, n = s.filled == s.rows, s.distinct_values, s.rows
+        full = s["filled"] == n
         if isinstance(t, BooleanType) and full:
             labels[c] = "boolean"
         elif isinstance(t, (TimestampType, TimestampNTZType)):
@@ -101,12 +123,13 @@ def detect_types(df: DataFrame) -> dict[str, str]:
         elif isinstance(t, INTEGERS + FLOATS):
             labels[c] = "float"
         else:
+            dates = s["dates"] / s["filled"]
             hint = any(h in normalise_name(c) for h in KEYWORDS["date"])
-            if c in ratios and (ratios[c] >= DATE_RATIO or hint and ratios[c] >= DATE_HINT_RATIO):
+            if dates >= DATE_RATIO or hint and dates >= DATE_HINT_RATIO:
                 labels[c] = "date"
             elif distinct / n > 0.9 and distinct > 20:
                 labels[c] = "identifier"
-            elif distinct / n < 0.5 or (s.mean_length or 0) < 30:
+            elif distinct / n < 0.5 or (s["mean_length"] or 0) < 30:
                 labels[c] = "categorical"
             else:
                 labels[c] = "text"
@@ -137,10 +160,44 @@ def duplicate_ids(df: DataFrame, column: str) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_ids"))
 
 
+def numeric_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, v) of every number of the columns."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col_num(df, c).alias("v")) for c in columns])
+    return df.select(F.inline(cells)).where(F.col("v").isNotNull())
+
+
+def exact_quantiles(cells: DataFrame, shares: list[float]) -> DataFrame:
+    """(column_name, q): exact quantiles, linear between neighbours, of (column_name, v); one row per column with values.
+
+    Equal values are counted once. The distinct values of a column are cut into RANGES ranges by an estimate, so that no task has a whole column; the counts of the
+    ranges, one row each, tell which of them hold the wanted ranks, and only those are put in order. An estimate that is off makes ranges uneven, never the result wrong.
+    """
+    counts = cells.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.groupBy("column_name").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("cuts"))  # one row per column: as many as the schema has
+    placed = counts.join(F.broadcast(cuts), "column_name").select("column_name", "v", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("range"))
+    ranges = Window.partitionBy("column_name").orderBy("range")
+    whole = Window.partitionBy("column_name")
+    sums = placed.groupBy("column_name", "range").agg(F.sum("n").alias("n")).select("column_name", "range", "n", (F.sum("n").over(ranges) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"))
+    place = lambda x: (F.col("total") - 1) * F.lit(float(x))
+    ranks = F.array_distinct(F.array(*[f(place(x)).cast("bigint") for x in shares for f in (F.floor, F.ceil)]))
+    wanted = sums.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).where(F.size("ranks") > 0).drop("n")
+    inside = Window.partitionBy("column_name", "range").orderBy("v")
+    # at most two ranks per share and column
+    held = placed.join(F.broadcast(wanted), ["column_name", "range"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    hits = held.select("column_name", "total", "v", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+    at = hits.groupBy("column_name", "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def value(x: float):
+        low, high = F.floor(place(x)), F.ceil(place(x))
+        a, b = F.element_at("at", low.cast("bigint")), F.element_at("at", high.cast("bigint"))
+        return F.when(low == high, a).when(a == b, a).otherwise((high - place(x)) * a + (place(x) - low) * b)
+
+    return at.select("column_name", F.array(*[value(x) for x in shares]).alias("q"))
+
+
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, q1, q3), linear, exact; one row per column with values."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col_num(df, c).alias("v")) for c in columns])
-    return df.select(F.inline(cells)).groupBy("column_name").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select("column_name", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    return exact_quantiles(numeric_cells(df, columns), [0.25, 0.75]).select("column_name", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -149,10 +206,9 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns:
         return spark.createDataFrame([], "column_name string, outliers bigint")
     bounds = quartiles(df, columns).where(F.col("q3") > F.col("q1"))  # one row per column: as many as the schema has
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col_num(df, c).alias("v")) for c in columns])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     hit = (F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach)
-    return df.select(F.inline(cells)).join(F.broadcast(bounds), "column_name").groupBy("column_name").agg(F.count_if(hit).alias("outliers"))
+    return numeric_cells(df, columns).join(F.broadcast(bounds), "column_name").groupBy("column_name").agg(F.count_if(hit).alias("outliers"))
 
 
 def negative_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -245,36 +301,70 @@ def anomalies(df: DataFrame, columns: list[str], threshold: float = 3.0, first:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, mean, median, std, min, max, q1, q3) per numeric column, exact; std of one value is 0."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col_num(df, c).alias("v")) for c in columns])
-    return df.select(F.inline(cells)).groupBy("column_name").agg(
-        F.avg("v").alias("mean"), F.percentile("v", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("_q"),
-        F.when(F.count("v") > 0, F.coalesce(F.stddev_samp("v"), F.lit(0.0))).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
-    ).select("column_name", "mean", F.col("_q")[1].alias("median"), "std", "min", "max", F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, mean double, median double, std double, min double, max double, q1 double, q3 double")
+    facts = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).alias(f"x{i}") for i, c in enumerate(columns) for v in [col_num(df, c)]])
+    facts = facts.select(F.inline(F.array(*[f"x{i}" for i in range(len(columns))])))
+    q = exact_quantiles(numeric_cells(df, columns), [0.25, 0.5, 0.75])
+    # one row per column on both sides
+    return facts.join(F.broadcast(q), "column_name", "left").select("column_name", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Pairwise counts, means, squares and products about the means of a block of rows (NaN: missing), stacked; [i, j] is over rows where both are there."""
+    there = ~np.isnan(x)
+    shift = np.where(there.any(0), np.nansum(x, 0) / np.maximum(there.sum(0), 1), 0.0)
+    m, v = there.astype(float), np.where(there, x - shift, 0.0)
+    n, s = m.T @ m, v.T @ m
+    k = np.maximum(n, 1)
+    return np.stack([n, s / k + shift[:, None], (v * v).T @ m - s * s / k, v.T @ v - s * s.T / k])
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = a[0] + b[0]
+    d, w = b[1] - a[1], a[0] * b[0] / np.maximum(n, 1)
+    mean = np.where(n > 0, (a[0] * a[1] + b[0] * b[1]) / np.maximum(n, 1), 0.0)
+    return np.stack([n, mean, a[2] + b[2] + d * d * w, a[3] + b[3] + d * d.T * w])
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
-    """(column_a, column_b, correlation) for every ordered pair: Pearson over rows where both are there; null without spread. One pass.
+def correlation_matrix(df: DataFrame, columns: list[str], groups: int = 64) -> DataFrame:
+    """(column_a, column_b, correlation) for every ordered pair: Pearson over rows where both are there; null without spread. One pass for any number of columns.
 
-    Tables of more than ``wide`` columns are added up by pair instead of in one row of aggregates, whose code would grow with the square of the columns.
+    Every partition adds its rows up to one set of pairwise moments (matrix products in Arrow batches); these are added by groups of partitions, then once more.
     """
-    if len(columns) > wide:
-        cells = F.array(*[F.struct(F.lit(c).alias("k"), col_num(df, c).alias("v")) for c in columns])
-        both = df.select(cells.alias("c")).select("c", F.explode("c").alias("a")).select("a", F.explode("c").alias("b"))
-        x, y = F.when(F.col("b.v").isNotNull(), F.col("a.v")), F.when(F.col("a.v").isNotNull(), F.col("b.v"))
-        facts = both.groupBy(F.col("a.k").alias("column_a"), F.col("b.k").alias("column_b")).agg(F.count(x).alias("n"), F.covar_samp(x, y).alias("c"), F.stddev_samp(x).alias("x"), F.stddev_samp(y).alias("y"))
-        return facts.select("column_a", "column_b", F.when(F.col("n") > 1, F.try_divide("c", F.col("x") * F.col("y"))).alias("correlation"))
-    sums, pairs = [], []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns[: i + 1]):
-            x, y = col_num(df, a), col_num(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            k = f"{i}_{j}"
-            sums += [
-                F.count_if(both).alias(f"n{k}"), F.covar_samp(F.when(both, x), F.when(both, y)).alias(f"c{k}"), F.stddev_samp(F.when(both, x)).alias(f"x{k}"), F.stddev_samp(F.when(both, y)).alias(f"y{k}"),
-            ]
-            r = F.when(F.col(f"n{k}") > 1, F.try_divide(F.col(f"c{k}"), F.col(f"x{k}") * F.col(f"y{k}")))
-            pairs += [F.struct(F.lit(p).alias("column_a"), F.lit(q).alias("column_b"), r.alias("correlation")) for p, q in {(a, b), (b, a)}]
-    return df.agg(*sums).select(F.inline(F.array(*pairs)))
+    spark, k = df.sparkSession, len(columns)
+    if not k:
+        return spark.createDataFrame([], "column_a string, column_b string, correlation double")
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for b in batches:
+            for at in range(0, b.num_rows, 4_096):
+                part = b.slice(at, 4_096)
+                total = _added(total, _moments(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns], axis=1)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+    def of_parts(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((4, k, k))
+        for m in group["m"]:
+            total = _added(total, np.frombuffer(m).reshape(4, k, k))
+        return pd.DataFrame({"part": [0], "m": [total.tobytes()]})
+
+    def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m in b.column("m").to_pylist():
+                n, _, square, product = np.frombuffer(m).reshape(4, k, k)
+                spread = np.sqrt(np.maximum(square, 0)) * np.sqrt(np.maximum(square.T, 0))
+                good = (n > 1) & (spread > 0)
+                r = np.where(good, product / np.where(good, spread, 1.0), 0.0)
+                first, second = np.repeat(np.arange(k), k), np.tile(np.arange(k), k)
+                names = np.array(columns, object)
+                yield pa.RecordBatch.from_arrays([pa.array(names[first], pa.string()), pa.array(names[second], pa.string()), pa.array(r.ravel(), mask=~good.ravel())], names=["column_a", "column_b", "correlation"])
+
+    parts = df.select(*[col_num(df, c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(of_rows, "m binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    # matrices, one per partition and then one per group: a few rows, each of the square of the columns
+    parts = parts.groupBy("part").applyInPandas(of_parts, "part int, m binary").groupBy("part").applyInPandas(of_parts, "part int, m binary")
+    return parts.mapInArrow(to_rows, "column_a string, column_b string, correlation double")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -292,7 +382,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def box_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: low, q1, median, q3, high and whiskers at the outermost values within 1.5 interquartile ranges."""
     values = df.select(col_num(df, column).alias("v")).where(F.col("v").isNotNull())
-    q = values.agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
+    q = exact_quantiles(values.select(F.lit("v").alias("column_name"), "v"), [0.0, 0.25, 0.5, 0.75, 1.0]).select("q")  # one row
     inside = values.join(F.broadcast(q)).where((F.col("v") >= F.col("q")[1] - 1.5 * (F.col("q")[3] - F.col("q")[1])) & (F.col("v") <= F.col("q")[3] + 1.5 * (F.col("q")[3] - F.col("q")[1])))
     return inside.groupBy("q").agg(F.min("v").alias("whisker_low"), F.max("v").alias("whisker_high")).select(
         F.col("q")[0].alias("low"), F.col("q")[1].alias("q1"), F.col("q")[2].alias("median"), F.col("q")[3].alias("q3"), F.col("q")[4].alias("high"), "whisker_low", "whisker_high"

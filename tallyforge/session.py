@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+from pathlib import PurePosixPath
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def is_uri(path) -> bool:
+    """A path of another file system than the driver's own (``scheme://...``); such are left to Spark."""
+    return "://" in str(path)
+
+
+def suffix_of(path) -> str:
+    return PurePosixPath(str(path).rstrip("/")).suffix.lower()
+
+
 def broadcast_within(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint only when a known row count is within ``limit``; beyond it the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
