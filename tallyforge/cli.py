@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "clean":
             from tallyforge.sources.writers import write_table
 
-            print(f"written: {write_table(analysis.clean_file(a.path), a.output)}")
+            print(f"written: {write_table(analysis.clean_file(a.path), a.output, single_file=True)}")
         else:
             result = analysis.analyze(a.path, verbose=a.command != "dashboard")
             if a.command == "dashboard":

@@ -5,6 +5,7 @@ Order: strip white space of texts, parse the date column, read texts that stand
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
@@ -36,8 +37,8 @@ def dedupe(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def clean(df: DataFrame, semantics: dict[str, str]) -> tuple[DataFrame, list[dict]]:
-    """Cleaned table and log. The log's counts are two aggregate jobs; a text column is read as numbers only if at least one value is one."""
+def clean(df: DataFrame, semantics: dict[str, str], keep: StorageLevel | None = None) -> tuple[DataFrame, list[dict]]:
+    """Cleaned table and log. The log's counts are two aggregate jobs; a text column is read as numbers only if at least one value is one. With ``keep`` the table is persisted before it is counted."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
     date = semantics.get("date")
@@ -66,6 +67,7 @@ def clean(df: DataFrame, semantics: dict[str, str]) -> tuple[DataFrame, list[dic
         if r[f"i{i}"]:
             log.append({"step": "infinite_to_missing", "column": c, "values": r[f"i{i}"]})
     out = dedupe(drop_infinite(out))
+    out = out.persist(keep) if keep else out
     dropped = r["rows"] - out.count()
     if dropped:
         log.append({"step": "drop_duplicates", "rows": dropped})

@@ -175,10 +175,11 @@ class DataAsset:
         self._df = self._states.pop()
         return self._log("rollback", rows_after=self._df.count())
 
-    def save(self, path: str | Path | None = None) -> Path:
+    def save(self, path: str | Path | None = None, single_file: bool = False) -> Path:
+        """As a folder written by all executors, or with ``single_file`` as one file."""
         from tallyforge.sources.writers import write_table
 
-        target = write_table(self._df, Path(path) if path else self.source_path)
+        target = write_table(self._df, Path(path) if path else self.source_path, single_file)
         self._log("save", path=str(target), rows=len(self))
         return target
 

@@ -140,7 +140,7 @@ class LargeDataAsset:
         """Any SQL query over the view ``data``."""
         sql = to_spark_dialect(sql)
         check_query(self._session, sql)
-        return self._session.sql(f"WITH data AS (SELECT * FROM {self._view}) SELECT * FROM ({sql.rstrip().rstrip(';')})")
+        return self._session.sql(f"WITH data AS (SELECT * FROM {self._view}) SELECT * FROM ({sql.rstrip().rstrip(';')}\n)")
 
     def sample(self, n: int = 1000) -> DataFrame:
         """The first n rows Spark comes across, not a random sample."""

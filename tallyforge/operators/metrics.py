@@ -72,6 +72,11 @@ def kpis(df: DataFrame, sem: Semantics) -> DataFrame:
     return out.drop("mean_revenue", "mean_discount", "max_discount", "discount_value", "rows")
 
 
+def unique_counts(df: DataFrame, sem: Semantics) -> DataFrame:
+    """One row: distinct values of product, category and customer, as far as they are there."""
+    return df.agg(*[F.count_distinct(_key(sem, c)).alias(n) for c, n in (("product", "unique_products"), ("category", "unique_categories"), ("customer", "unique_customers")) if sem.get(c) in df.columns])
+
+
 def group_totals(df: DataFrame, sem: Semantics, concept: str) -> DataFrame:
     """(key, revenue, profit, quantity, avg_discount) per key, as far as the concepts are there. One shuffle."""
     aggs = [total(c).alias(n) for n in ("revenue", "profit", "quantity") if (c := _num(df, sem, n)) is not None]

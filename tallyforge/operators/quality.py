@@ -25,8 +25,8 @@ FLOATS = (FloatType, DoubleType, DecimalType)
 NUMERIC_LABELS = ("integer", "float")
 #: Relative error of a distinct estimate that counts as possible (several standard errors of a sketch of 2 ** SKETCH registers); nearer to a threshold columns are counted exactly.
 SKETCH, SKETCH_ERROR = 12, 0.08
-#: Ranges into which a column's distinct values are cut for exact quantiles; only those that hold a wanted rank are put in order.
-RANGES = 256
+#: Accuracy (1 / relative rank error) of the estimates around which exact quantiles are looked for.
+ACCURACY = 10_000
 DATE_RATIO, DATE_HINT_RATIO = 0.85, 0.5
 
 
@@ -169,21 +169,22 @@ def numeric_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 def exact_quantiles(cells: DataFrame, shares: list[float]) -> DataFrame:
     """(column_name, q): exact quantiles, linear between neighbours, of (column_name, v); one row per column with values.
 
-    Equal values are counted once. The distinct values of a column are cut into RANGES ranges by an estimate, so that no task has a whole column; the counts of the
-    ranges, one row each, tell which of them hold the wanted ranks, and only those are put in order. An estimate that is off makes ranges uneven, never the result wrong.
+    Estimates a little below and above every share cut the values of a column into ranges. The counts of the ranges, one row each, tell which of them hold the wanted
+    ranks; only their values, a small part of all (equal ones counted once), are shuffled and put in order. An estimate that is off makes a range larger, never the result wrong.
     """
-    counts = cells.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.groupBy("column_name").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("cuts"))  # one row per column: as many as the schema has
-    placed = counts.join(F.broadcast(cuts), "column_name").select("column_name", "v", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("range"))
+    edges = sorted({min(1.0, max(0.0, x + d)) for x in shares for d in (-2 / ACCURACY, 2 / ACCURACY)})
+    cuts = cells.groupBy("column_name").agg(F.percentile_approx("v", edges, ACCURACY).alias("cuts"))  # one row per column: as many as the schema has
+    place_of = reduce(lambda a, b: a + b, [(F.get("cuts", F.lit(i)) < F.col("v")).cast("int") for i in range(len(edges))])
+    placed = cells.join(F.broadcast(cuts), "column_name").select("column_name", "v", place_of.alias("range"))
     ranges = Window.partitionBy("column_name").orderBy("range")
     whole = Window.partitionBy("column_name")
-    sums = placed.groupBy("column_name", "range").agg(F.sum("n").alias("n")).select("column_name", "range", "n", (F.sum("n").over(ranges) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"))
+    sums = placed.groupBy("column_name", "range").agg(F.count(F.lit(1)).alias("n")).select("column_name", "range", "n", (F.sum("n").over(ranges) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"))
     place = lambda x: (F.col("total") - 1) * F.lit(float(x))
     ranks = F.array_distinct(F.array(*[f(place(x)).cast("bigint") for x in shares for f in (F.floor, F.ceil)]))
     wanted = sums.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).where(F.size("ranks") > 0).drop("n")
-    inside = Window.partitionBy("column_name", "range").orderBy("v")
     # at most two ranks per share and column
-    held = placed.join(F.broadcast(wanted), ["column_name", "range"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    held = placed.join(F.broadcast(wanted), ["column_name", "range"]).groupBy("column_name", "range", "before", "total", "ranks", "v").agg(F.count(F.lit(1)).alias("n"))
+    held = held.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v")))
     hits = held.select("column_name", "total", "v", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
     at = hits.groupBy("column_name", "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
 
@@ -223,11 +224,14 @@ def invalid_dates(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(c.isNotNull() & parse_date(c, df.schema[column].dataType).isNull()).alias("invalid_dates"))
 
 
-def quality(df: DataFrame, semantics: dict[str, str], labels: dict[str, str]) -> dict:
-    """All reports and the score from 0 to 100."""
+def quality(df: DataFrame, semantics: dict[str, str], labels: dict[str, str], distinct: bool = False) -> dict:
+    """All reports and the score from 0 to 100. ``distinct`` says that no two rows are equal (as after cleaning), which spares the search."""
     cols = data_columns(df)
-    dup = duplicate_rows(df).first()
-    n = dup.rows
+    if distinct:
+        n, duplicates = df.count(), 0
+    else:
+        dup = duplicate_rows(df).first()
+        n, duplicates = dup.rows, dup.duplicate_rows
     missing = {r.column_name: r.missing for r in missing_counts(df).collect()} if cols else {}
     numeric = numeric_columns(labels)
     outliers = {r.column_name: r.outliers for r in iqr_outliers(df, numeric).collect() if r.outliers}
@@ -238,7 +242,7 @@ def quality(df: DataFrame, semantics: dict[str, str], labels: dict[str, str]) ->
     repeated = duplicate_ids(df, order).first()[0] if order in cols else None
     share = lambda k: 100 * k / max(n, 1)
     missing_pct = round(100 * sum(missing.values()) / max(n * len(cols), 1), 2)
-    duplicate_pct = round(share(dup.duplicate_rows), 2)
+    duplicate_pct = round(share(duplicates), 2)
     losses = [
         min(0.6 * missing_pct, 30), min(0.8 * duplicate_pct, 20), min(0.2 * share(sum(outliers.values())), 15), min(5 * len(negatives), 15),
         min(0.3 * share(bad_dates or 0), 10), min(0.3 * share(repeated or 0), 10),
@@ -246,7 +250,7 @@ def quality(df: DataFrame, semantics: dict[str, str], labels: dict[str, str]) ->
     return {
         "quality_score": max(0.0, min(100.0, round(100 - sum(losses), 1))),
         "missing": {"total_missing": sum(missing.values()), "missing_pct": missing_pct, "by_column": {c: k for c, k in missing.items() if k}},
-        "duplicates": {"duplicate_rows": dup.duplicate_rows, "duplicate_pct": duplicate_pct},
+        "duplicates": {"duplicate_rows": duplicates, "duplicate_pct": duplicate_pct},
         "outliers": {"total_outliers": sum(outliers.values()), "by_column": outliers},
         "negative_values": negatives,
         "invalid_dates": {"column": date, "invalid_dates": bad_dates} if bad_dates else {},
@@ -255,9 +259,9 @@ def quality(df: DataFrame, semantics: dict[str, str], labels: dict[str, str]) ->
     }
 
 
-def full_profile(df: DataFrame, semantics: dict[str, str], labels: dict[str, str] | None = None) -> dict:
+def full_profile(df: DataFrame, semantics: dict[str, str], labels: dict[str, str] | None = None, distinct: bool = False) -> dict:
     labels = labels or detect_types(df)
-    q = quality(df, semantics, labels)
+    q = quality(df, semantics, labels, distinct)
     of = lambda *kinds: [c for c, t in labels.items() if t in kinds]
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -68,18 +68,21 @@ def printable(answers: dict[str, dict]) -> dict[str, dict]:
 
 class AnalysisResult:
     def __init__(self, df: DataFrame, source: str = "", load_meta: dict | None = None, insight_provider: InsightProvider | None = None):
-        df = Q.with_row_id(Q.flatten(df))
+        # read once; later steps come from what is kept, in memory or on the executors' disks
+        df = Q.with_row_id(Q.flatten(df)).persist(StorageLevel.MEMORY_AND_DISK)
         if not df.limit(1).count():
+            df.unpersist()
             raise EmptyDataset()
         self.source, self.load_meta = source, load_meta or {}
         self._provider = insight_provider or NoInsights()
         self.raw_df = df
         self.dtypes = Q.detect_types(df)
         with_profit, self.semantics, self.profit_derived = M.ensure_profit(df, detect_semantics(self.dtypes))
-        cleaned, self.cleaning_log = clean(with_profit, self.semantics)
-        self.cleaned_df = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
+        self.cleaned_df, self.cleaning_log = clean(with_profit, self.semantics, StorageLevel.MEMORY_AND_DISK)
+        df.unpersist()
 
     def close(self) -> None:
+        self.raw_df.unpersist()
         self.cleaned_df.unpersist()
 
     def has(self, *concepts: str) -> bool:
@@ -91,7 +94,7 @@ class AnalysisResult:
 
     @cached_property
     def profile(self) -> dict:
-        return Q.full_profile(self.cleaned_df, self.semantics, self.cleaned_labels)
+        return Q.full_profile(self.cleaned_df, self.semantics, self.cleaned_labels, distinct=True)
 
     @cached_property
     def _kpis(self) -> dict:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sqlite3
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +18,11 @@ from tallyforge.operators import cleaning as C
 from tallyforge.operators import dataset as D
 from tallyforge.operators import metrics as M
 from tallyforge.operators import quality as Q
-from tallyforge.operators.lazy import LargeDataAsset, as_of_join
+from tallyforge.operators.lazy import LargeDataAsset, as_of_join, check_query, to_spark_dialect
 from tallyforge.plans import training_queries, training_sql
-from tallyforge.session import table
+from tallyforge.session import shared_folder, table
+from tallyforge.sources.loaders import load
+from tallyforge.sources.writers import write_table
 from tallyforge.streaming.windows import sessions, windowed_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(training_queries.QUERIES)
@@ -99,6 +106,12 @@ def _(s, d):
     return M.kpis(fact(s, d), {k: v for k, v in SEM.items() if k != "order"}).select("orders", "average_order_value")
 
 
+@query("kpi_derived_profit", f"SELECT {dsum('profit')} AS total_profit, ROUND(100 * {dsum('profit')} / {dsum('revenue')}, 2) AS profit_margin_pct FROM fact", True)
+def _(s, d):
+    """Without a profit column: revenue - cost."""
+    return M.kpis(sales(s, d), {k: v for k, v in SEM.items() if k != "profit"}).select("total_profit", "profit_margin_pct")
+
+
 @query("derived_profit", "SELECT order_id, CAST(line AS BIGINT) AS line, ROUND(profit, 4) AS derived_profit FROM fact", True)
 def _(s, d):
     return fact(s, d).select("order_id", F.col("line").cast("bigint").alias("line"), F.round("profit", 4).alias("derived_profit"))
@@ -162,7 +175,7 @@ def _(s, d):
 
 @query("unique_counts", "SELECT COUNT(DISTINCT product_id) AS unique_products, COUNT(DISTINCT category) AS unique_categories, COUNT(DISTINCT customer_id) AS unique_customers FROM fact", True)
 def _(s, d):
-    return fact(s, d).agg(*[F.count_distinct(c).alias(n) for c, n in (("product_id", "unique_products"), ("category", "unique_categories"), ("customer_id", "unique_customers"))])
+    return M.unique_counts(fact(s, d), SEM)
 
 
 @query("customer_orders_summary", f", {BY_CUSTOMER} SELECT COUNT(*) AS unique_customers, ROUND(AVG(orders), 6) AS average_orders, COUNT(*) FILTER (WHERE orders > 1) AS repeat_customers, COUNT(*) FILTER (WHERE orders = 1) AS one_time_customers FROM g", True)
@@ -296,11 +309,6 @@ def _sql_format(f: str) -> str:
     return f.replace("yyyyMMdd", "%Y%m%d").replace("yyyy", "%Y").replace("MMM", "%b").replace("M", "%m").replace("d", "%d").replace("y", "%Y").replace("H", "%H").replace(":m", ":%M").replace(":s", ":%S").replace("%%", "%")
 
 
-@query("invalid_dates")
-def _(s, d):
-    return Q.invalid_dates(table(s, d, "customer_profile"), "signup_date")
-
-
 @query("iqr_outliers", f"WITH c AS ({CELLS}), b AS (SELECT column_name, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM c GROUP BY 1) SELECT c.column_name, COUNT(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers FROM c JOIN b ON c.column_name = b.column_name WHERE q3 > q1 GROUP BY 1")
 def _(s, d):
     return Q.iqr_outliers(table(s, d, "ecommerce"), ECOM_NUM)
@@ -416,6 +424,25 @@ def _(s, d):
     return table(s, d, "customer_profile").select("row_id", parse_date(F.col("signup_date")).alias("signup_date"))
 
 
+@query("invalid_dates", f"WITH s AS (SELECT signup_date, {_DATE_TEXT} AS t FROM customer_profile) SELECT COUNT(*) FILTER (WHERE signup_date IS NOT NULL AND COALESCE({_DATE_TRIES}) IS NULL) AS invalid_dates FROM s")
+def _(s, d):
+    return Q.invalid_dates(table(s, d, "customer_profile"), "signup_date")
+
+
+LABELLED = ["feed", "order_date", "product_id", "category", "revenue", "is_active"]
+
+
+def _label_sql(c: str) -> str:
+    text = _DATE_TEXT.replace("signup_date", c)
+    ratio = f"SELECT '{c}' AS column_name, COUNT({c}) AS filled, COUNT(*) AS n, COUNT(DISTINCT {c}) AS k, AVG(length({c})) AS l, COUNT(COALESCE({_DATE_TRIES})) / COUNT({c}) AS dates, {'true' if 'date' in c else 'false'} AS hint FROM (SELECT {c}, {text} AS t FROM messy)"
+    return f"SELECT column_name, CASE WHEN filled = 0 THEN 'unknown' WHEN dates >= 0.85 OR hint AND dates >= 0.5 THEN 'date' WHEN k / n > 0.9 AND k > 20 THEN 'identifier' WHEN k / n < 0.5 OR l < 30 THEN 'categorical' ELSE 'text' END AS label FROM ({ratio})"
+
+
+@query("dtype_labels", " UNION ALL ".join(_label_sql(c) for c in LABELLED))
+def _(s, d):
+    return s.createDataFrame(list(Q.detect_types(table(s, d, "messy").select(*LABELLED)).items()), "column_name string, label string")
+
+
 # --- lazy tables and SQL --------------------------------------------------------------------------------------------------
 
 
@@ -444,13 +471,16 @@ def _(s, d):
 
 
 def _same_sql(name: str, tables: list[str], sql: str) -> None:
-    """The same text for both engines, over views of the named tables."""
+    """The same text for both engines: over the lazy view of one table, or over guarded views of several."""
 
     @query(name, sql)
     def _(s, d):
-        with_views = ", ".join(f"{t} AS (SELECT * FROM parquet.`{d}/{t}.parquet`)" for t in tables)
-        head = f"WITH {with_views}"
-        return s.sql(f"{head}, {sql[5:]}" if sql.startswith("WITH ") else f"{head} {sql}")
+        if len(tables) == 1:
+            return _lazy(s, d, tables[0]).query(re.sub(rf"\b(FROM|JOIN) {tables[0]}\b", r"\1 data", sql))
+        text = to_spark_dialect(sql)
+        check_query(s, text, tuple(tables))
+        head = "WITH " + ", ".join(f"{t} AS (SELECT * FROM parquet.`{d}/{t}.parquet`)" for t in tables)
+        return s.sql(f"{head}, {text[5:]}" if text.startswith("WITH ") else f"{head} {text}")
 
 
 _same_sql("sql_rollup", ["orders"], "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
@@ -463,7 +493,11 @@ _same_sql("sql_semi_anti", ["customer", "orders"], "SELECT c_custkey, 'semi' AS
 _same_sql("sql_outer_join", ["nation", "region", "supplier"], "SELECT n_name, r_name, COUNT(s_suppkey) AS suppliers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, r_name")
 _same_sql("sql_correlated", ["part"], "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT AVG(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
 _same_sql("sql_filter_agg", ["ecommerce"], "SELECT category, COUNT(*) FILTER (WHERE quantity > 1) AS several, COUNT(DISTINCT customer_id) AS customers FROM ecommerce GROUP BY category")
-_same_sql("sql_pivot", ["orders"], "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS o, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
+
+
+@query("sql_pivot", "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS o, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
+def _(s, d):
+    return _lazy(s, d, "orders").query("SELECT o_orderpriority, COALESCE(f, 0) AS f, COALESCE(o, 0) AS o, COALESCE(p, 0) AS p FROM (SELECT o_orderpriority, o_orderstatus FROM data) PIVOT (COUNT(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))")
 
 
 @query("sql_unpivot", "SELECT n_nationkey, 'n_name' AS field, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")
@@ -483,6 +517,72 @@ def _(s, d):
     return as_of_join(e.select("event_id", "user_id", "ts"), seen, "ts", ["user_id"], ["seen"]).select("event_id", "seen")
 
 
+@query("lazy_sample", "SELECT LEAST(1000, COUNT(*)) AS n FROM ecommerce")
+def _(s, d):
+    return _lazy(s, d, "ecommerce").sample(1000).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("correlation_wide")
+def _(s, d):
+    """Every pair of 301 columns made from orders by a hash."""
+    cols = [f"c{i}" for i in range(301)]
+    return Q.correlation_matrix(table(s, d, "orders").select(*[F.pmod(F.xxhash64("o_orderkey", F.lit(i % 300)), F.lit(1_000)).alias(c) for i, c in enumerate(cols)]), cols)
+
+
+# --- files: each is written, read back by its suffix, and held against SQL over the table -----------------------------------
+
+
+def _round_trip(s: SparkSession, df: DataFrame, suffix: str, make: Callable[[DataFrame, Path], None] | None = None) -> DataFrame:
+    folder = Path(re.sub("^file:/*", "/", shared_folder(s))) / uuid4().hex
+    if "://" in str(folder) and make:
+        folder = Path(tempfile.mkdtemp()) / "files"  # databases are files of the driver
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / f"table{suffix}"
+    (make or (lambda df, path: write_table(df, path)))(df, path)
+    return load(path, s)[0].drop(Q.ROW_ID)
+
+
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+SUPPLIERS = ["s_suppkey", "s_name", "s_nationkey"]
+for _suffix in ("csv", "json", "parquet"):
+
+    @query(f"source_{_suffix}", f"SELECT {', '.join(ORDERS)} FROM orders")
+    def _(s, d, suffix=_suffix):
+        return _round_trip(s, table(s, d, "orders").select(*ORDERS), f".{suffix}").select(*ORDERS)
+
+
+@query("source_xlsx", f"SELECT {', '.join(SUPPLIERS)} FROM supplier")
+def _(s, d):
+    return _round_trip(s, table(s, d, "supplier").select(*SUPPLIERS), ".xlsx").select(*[F.col(c).cast("bigint" if c.endswith("key") else "string").alias(c) for c in SUPPLIERS])
+
+
+def _sqlite(df: DataFrame, path: Path) -> None:
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE other (x)")
+        con.execute("CREATE TABLE suppliers (s_suppkey INTEGER, s_name TEXT, s_nationkey INTEGER)")
+        con.executemany("INSERT INTO suppliers VALUES (?, ?, ?)", df.toLocalIterator())
+
+
+def _duckdb(df: DataFrame, path: Path) -> None:
+    import duckdb
+
+    rows = df.toArrow()  # noqa: F841
+    with duckdb.connect(str(path)) as con:
+        con.execute("CREATE TABLE suppliers AS SELECT * FROM rows")
+
+
+def _script(df: DataFrame, path: Path) -> None:
+    rows = ", ".join("({}, '{}', {})".format(r[0], r[1].replace("'", "''"), r[2]) for r in df.toLocalIterator())
+    path.write_text(f"-- suppliers; all of them\nCREATE TABLE s (s_suppkey BIGINT, s_name TEXT, s_nationkey BIGINT);\nINSERT INTO s VALUES {rows};\nSELECT * FROM s;\n")
+
+
+for _name, _suffix, _make in (("sqlite", ".db", _sqlite), ("duckdb", ".duckdb", _duckdb), ("sql_script", ".sql", _script)):
+
+    @query(f"source_{_name}", f"SELECT {', '.join(SUPPLIERS)} FROM supplier")
+    def _(s, d, suffix=_suffix, make=_make):
+        return _round_trip(s, table(s, d, "supplier").select(*SUPPLIERS), suffix, make).select(*[F.col(c).cast("bigint" if c.endswith("key") else "string").alias(c) for c in SUPPLIERS])
+
+
 # --- edits ----------------------------------------------------------------------------------------------------------------
 
 CUST = "c_custkey, c_name, c_nationkey, c_mktsegment"
@@ -524,6 +624,23 @@ def _(s, d):
     return a.df
 
 
+@query("ops_audit", "SELECT 'update' AS operation, COUNT(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS rows FROM customer UNION ALL SELECT 'insert', 1 UNION ALL SELECT 'delete', COUNT(*) FILTER (WHERE c_mktsegment = 'MACHINERY') FROM customer UNION ALL SELECT 'rollback', COUNT(*) + 1 FROM customer")
+def _(s, d):
+    """The audit log of a few edits."""
+    a = D.DataAsset(_cust(s, d))
+    a.update({"c_mktsegment": "BUILDING"}, {"c_nationkey": 7})
+    a.insert({"c_custkey": -1})
+    a.delete({"c_mktsegment": "MACHINERY"})
+    a.rollback()
+    return s.createDataFrame([(e["operation"], int(e.get("rows_affected", e.get("rows_after")))) for e in a.audit_log], "operation string, rows bigint")
+
+
+@query("ops_match_other_kinds", f"SELECT {CUST} FROM customer WHERE c_custkey = 3")
+def _(s, d):
+    c = _cust(s, d)
+    return c.where(D.matches(c, {"c_name": 5}) | D.matches(c, {"c_custkey": "abc"}) | D.matches(c, {"c_custkey": 3.0}))
+
+
 @query("ops_match_nothing", f"SELECT {CUST} FROM customer WHERE false")
 def _(s, d):
     c = _cust(s, d)

@@ -120,6 +120,12 @@ def p4_base_aggregates(spark: SparkSession, d: str) -> DataFrame:
     return profiles(spark, d).select("table_name", "column_name", "load_id", "rows", "nulls", "distinct_values", "min_value", "max_value", "strays", "top_count")
 
 
+def p4_band_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Exact null, stray and band shares of the numeric columns."""
+    rows = profiles(spark, d).where(F.col("table_name") == "ecommerce")
+    return rows.select("table_name", "column_name", "load_id", *[F.round(c, 6).alias(c) for c in ("null_rate", "stray_share", *(f"band{i}_share" for i in range(1, 5)))])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return profiles(spark, d).select("table_name", "column_name", "load_id", F.explode("issues").alias("issue"))
 
@@ -152,5 +158,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_rolling_totals": p1_rolling_totals, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p3_loaded": p3_loaded,
-    "p4_found": p4_found, "p4_profile": p4_profile, "p4_base_aggregates": p4_base_aggregates, "p5_found": p5_found, "p5_filled": p5_filled,
+    "p4_found": p4_found, "p4_profile": p4_profile, "p4_base_aggregates": p4_base_aggregates, "p4_band_shares": p4_band_shares, "p5_found": p5_found, "p5_filled": p5_filled,
 }

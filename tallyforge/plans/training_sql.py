@@ -90,14 +90,28 @@ WITH raw AS (SELECT raw_id, feed, regexp_replace(raw_line, '\\r$', '') AS line F
 shaped AS (SELECT *, regexp_full_match(line, '(?s){_F}(?:,{_F})*') AS sound, regexp_replace(line, '"(?:[^"]|"")*"', '', 'g') AS bare FROM raw),
 judged AS (SELECT *, CASE WHEN NOT sound THEN 'quoting' WHEN length(bare) - length(replace(bare, ',', '')) <> 4 OR contains(bare, chr(10)) OR contains(bare, chr(13)) THEN 'column_count' END AS reason FROM shaped),
 fields AS (SELECT raw_id, feed, regexp_extract(line, '(?s)^{_F},{_F},{_F},{_F},{_F}$', ['f1', 'f2', 'f3', 'f4', 'f5']) AS f FROM judged WHERE reason IS NULL),
-cells AS (SELECT raw_id, fields.feed AS feed, null_token, {_unquoted(1)} AS order_id, {_unquoted(2)} AS order_date, {_unquoted(4)} AS revenue FROM fields LEFT JOIN feeds ON fields.feed = feeds.feed),
+cells AS (SELECT raw_id, fields.feed AS feed, null_token, {_unquoted(1)} AS order_id, {_unquoted(2)} AS order_date, {_unquoted(3)} AS category, {_unquoted(4)} AS revenue, {_unquoted(5)} AS is_active FROM fields LEFT JOIN feeds ON fields.feed = feeds.feed),
 {dates("SELECT raw_id AS k, order_date AS text, feed FROM cells")}
+"""
+_P3_FOUND = f"""
 SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL
 UNION ALL SELECT raw_id, 'order_id' FROM cells WHERE NOT {missing('order_id', 'null_token', True)} AND NOT regexp_full_match({strip('order_id')}, '[+-]?[0-9]+(\\.0*)?')
 UNION ALL SELECT raw_id, 'revenue' FROM cells WHERE NOT {missing('revenue', 'null_token', True)} AND {number('revenue')} IS NULL
 UNION ALL SELECT k, 'order_date' FROM stamped WHERE status = 'invalid'
 """
 
+
+def _known(c: str, numeric: bool = False) -> str:
+    return f"CASE WHEN NOT {missing(c, 'null_token', numeric)} THEN {strip(c)} END"
+
+
+_P3_LOADED = f"""
+, bad AS ({_P3_FOUND})
+SELECT cells.raw_id, TRY_CAST(regexp_replace({_known('order_id')}, '\\.0*$', '') AS BIGINT) AS order_id, stamped.utc_us AS order_utc_micros, {_known('category')} AS category,
+       {number(_known('revenue'))} AS revenue, {_known('is_active')} AS is_active
+FROM cells LEFT JOIN stamped ON stamped.k = cells.raw_id WHERE cells.raw_id NOT IN (SELECT raw_id FROM bad)
+"""
+
 _P5 = f"""
 WITH c AS (SELECT m.row_id, {strip('m.product_id')} AS product, CASE WHEN NOT {missing('m.category', 'f.null_token')} THEN {strip('m.category')} END AS category,
                   CASE WHEN NOT {missing('m.revenue', 'f.null_token')} THEN {number('m.revenue')} END AS revenue
@@ -107,6 +121,30 @@ SELECT row_id, 'category' AS column_name FROM c JOIN p USING (product) WHERE cat
 UNION ALL SELECT row_id, 'revenue' FROM c JOIN p USING (product) WHERE revenue IS NULL AND revenues > 0
 """
 
+
+
+def _near(c: str, way: str) -> str:
+    rows = "UNBOUNDED PRECEDING AND CURRENT ROW" if way == "LAST" else "CURRENT ROW AND UNBOUNDED FOLLOWING"
+    return f"{way}_VALUE(CASE WHEN {c} IS NOT NULL THEN {{'s': s, 'v': {c}}} END IGNORE NULLS) OVER (PARTITION BY product ORDER BY s, row_id ROWS BETWEEN {rows})"
+
+
+_LIMIT = 30 * 86_400
+_P5_FILLED = f"""
+WITH c AS (SELECT m.row_id, m.product_id, {strip('m.product_id')} AS product, epoch_us(m.received_at) / 1e6 AS s, {missing('m.category', 'f.null_token')} AS no_category,
+             CASE WHEN NOT {missing('m.category', 'f.null_token')} THEN {strip('m.category')} END AS category, CASE WHEN NOT {missing('m.revenue', 'f.null_token')} THEN {number('m.revenue')} END AS revenue
+           FROM messy m LEFT JOIN feeds f ON m.feed = f.feed),
+w AS (SELECT *, {_near('category', 'LAST')} AS pc, {_near('category', 'FIRST')} AS nc, {_near('revenue', 'LAST')} AS pr, {_near('revenue', 'FIRST')} AS nr FROM c),
+often AS (SELECT product, category AS top FROM (SELECT product, category, ROW_NUMBER() OVER (PARTITION BY product ORDER BY COUNT(*) DESC, category) AS k FROM c WHERE category IS NOT NULL GROUP BY 1, 2) WHERE k = 1),
+means AS (SELECT product, AVG(revenue) AS mean FROM c GROUP BY 1),
+d AS (SELECT w.*, top, mean, no_category AND w.product IS NOT NULL AND (pc IS NOT NULL OR nc IS NOT NULL) AS fc, revenue IS NULL AND w.product IS NOT NULL AND (pr IS NOT NULL OR nr IS NOT NULL) AS fr,
+        s - pc.s AS bc, nc.s - s AS ac, s - pr.s AS br, nr.s - s AS ar FROM w LEFT JOIN often ON w.product = often.product LEFT JOIN means ON w.product = means.product),
+e AS (SELECT *, LEAST(bc, ac) AS dc, LEAST(br, ar) AS dr FROM d)
+SELECT row_id, product_id, CASE WHEN fc THEN CASE WHEN dc <= {_LIMIT} THEN CASE WHEN nc IS NULL OR bc <= ac THEN pc.v ELSE nc.v END ELSE top END ELSE category END AS category_value, fc AS category_filled,
+  CASE WHEN fc THEN CASE WHEN dc <= {_LIMIT} THEN 'carried' ELSE 'frequent' END END AS category_method, CASE WHEN fc THEN ROUND(dc, 3) END AS category_distance,
+  CASE WHEN fr THEN ROUND(CASE WHEN pr IS NOT NULL AND nr IS NOT NULL THEN CASE WHEN nr.s > pr.s THEN pr.v + (nr.v - pr.v) * (br / (nr.s - pr.s)) ELSE (pr.v + nr.v) / 2 END WHEN dr <= {_LIMIT} THEN COALESCE(pr.v, nr.v) ELSE mean END, 4) ELSE ROUND(revenue, 4) END AS revenue_value, fr AS revenue_filled,
+  CASE WHEN fr THEN CASE WHEN pr IS NOT NULL AND nr IS NOT NULL THEN 'interpolated' WHEN dr <= {_LIMIT} THEN 'carried' ELSE 'average' END END AS revenue_method, CASE WHEN fr THEN ROUND(dr, 3) END AS revenue_distance
+FROM e
+"""
 _NUMERIC = " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END AS v FROM ecommerce" for c in ("revenue", "quantity", "profit"))
 _P4 = f"""
 WITH v AS ({_NUMERIC}),
@@ -131,7 +169,8 @@ ORACLE_SQL: dict[str, str] = {
     "p1_rolling_totals": _P1 + "SELECT account, strftime(day, '%Y-%m-%d') AS day_utc, n AS entries, c7 / 100 AS total_revenue_7, c30 / 100 AS total_revenue_30, ROUND(c7 / 7e0 / 100, 4) AS average_revenue_7, ROUND(c30 / 30e0 / 100, 4) AS average_revenue_30 FROM rolled",
     "p2_found": _P2 + " SELECT k.t AS table_name, k.r AS row_id, 'invalid' AS issue FROM stamped WHERE status = 'invalid' UNION ALL SELECT k.t, k.r, issue FROM stamped WHERE issue IS NOT NULL UNION ALL SELECT k.t, k.r, 'day_shift' FROM stamped WHERE day_shift",
     "p2_normalised": _P2 + " SELECT k.t AS table_name, k.r AS row_id, text, status, kind, issue AS clock_issue, day_shift, utc_us AS utc_micros, utc_day FROM stamped",
-    "p3_found": _P3,
+    "p3_found": _P3 + _P3_FOUND,
+    "p3_loaded": _P3 + _P3_LOADED,
     "p4_base_aggregates": _P4 + "SELECT table_name, column_name, load_id, rows, nulls, distinct_values, min_value, max_value, strays, top_count FROM a UNION ALL SELECT * FROM t",
     "p4_found": _P4 + f"""
 SELECT a.table_name, a.column_name, load_id, 'null_rate' AS issue FROM a {_LIMITS.format('a')} WHERE nulls / rows > null_limit
@@ -142,5 +181,7 @@ UNION ALL SELECT table_name, column_name, load_id, 'stuck' FROM a WHERE rows > n
 UNION ALL SELECT a.table_name, a.column_name, load_id, 'distribution' FROM a {_LIMITS.format('a')} WHERE rows > nulls
   AND (ABS(n1 / {_SHARE} - band1) > band_limit OR ABS(n2 / {_SHARE} - band2) > band_limit OR ABS(n3 / {_SHARE} - band3) > band_limit OR ABS(n4 / {_SHARE} - band4) > band_limit)
 """,
+    "p4_band_shares": _P4 + f"SELECT table_name, column_name, load_id, ROUND(nulls / rows, 6) AS null_rate, ROUND(strays / NULLIF({_SHARE}, 0), 6) AS stray_share, " + ", ".join(f"ROUND(n{i} / NULLIF({_SHARE}, 0), 6) AS band{i}_share" for i in range(1, 5)) + " FROM a",
     "p5_found": _P5,
+    "p5_filled": _P5_FILLED,
 }

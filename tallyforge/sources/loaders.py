@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import codecs
-import csv
 import io
 import sqlite3
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyforge.errors import DestructiveStatement, UnsupportedFileType
 from tallyforge.operators.quality import ROW_ID, flatten, with_row_id
-from tallyforge.session import get_spark
+from tallyforge.session import get_spark, is_uri, suffix_of
 from tallyforge.sources import datasources
 
 SUPPORTED = [".csv", ".xlsx", ".xlsm", ".json", ".parquet", ".sql", ".db", ".sqlite", ".duckdb"]
+REMOTE = [".csv", ".json", ".parquet"]
 #: Cells of a CSV file that are null.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 ENCODINGS = ["utf-8", "utf-8-sig", "cp1252", "latin-1"]
@@ -57,50 +57,78 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def infer(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Text columns as boolean, bigint or double where every value is one; one aggregate job over all columns."""
+def infer(df: DataFrame, columns: list[str], skip: Column | None = None) -> tuple[DataFrame, int]:
+    """Text columns as boolean, bigint or double where every value is one, and the number of rows where ``skip`` holds, which are left out; one aggregate job over all columns."""
     q = lambda c: F.col(f"`{c}`")
+    skip = F.lit(False) if skip is None else skip
     integer, decimal = r"^[+-]?\d{1,18}$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
-    aggs = []
+    aggs = [F.count_if(skip).alias("skipped")]
     for i, c in enumerate(columns):
-        t = F.trim(q(c))
-        aggs += [F.count(q(c)).alias(f"n{i}"), F.count_if(t.rlike(integer)).alias(f"i{i}"), F.count_if(t.rlike(decimal)).alias(f"d{i}"), F.count_if(F.lower(q(c)).isin("true", "false")).alias(f"b{i}")]
-    r = df.agg(*aggs).first() if columns else {}
+        v = F.when(~skip, q(c))
+        t = F.trim(v)
+        kind = F.when(t.rlike(integer), 1).when(t.rlike(decimal), 2).when(F.lower(v).isin("true", "false"), 4).when(v.isNotNull(), 8)
+        aggs.append(F.coalesce(F.bit_or(kind), F.lit(0)).alias(f"k{i}"))
+    r = df.agg(*aggs).first()
     out = []
     for i, c in enumerate(columns):
-        n, t = r[f"n{i}"], F.trim(q(c))
+        kinds, t = r[f"k{i}"], F.trim(q(c))
         word = F.lower(t)
         infinite = F.when(word.rlike(r"^\+?inf"), float("inf")).when(word.rlike("^-inf"), float("-inf"))
-        if n and r[f"b{i}"] == n:
+        if kinds == 4:
             out.append(q(c).cast("boolean").alias(c))
-        elif n and r[f"i{i}"] == n:
+        elif kinds == 1:
             out.append(t.cast("bigint").alias(c))
-        elif n and r[f"d{i}"] == n:
+        elif kinds in (2, 3):
             out.append(F.coalesce(infinite, t.try_cast("double")).alias(c))
         else:
             out.append(q(c))
-    return df.select(*out, *[q(c) for c in df.columns if c not in columns])
+    kept = df.where(~F.coalesce(skip, F.lit(False))) if r["skipped"] else df
+    return kept.select(*out, *[q(c) for c in df.columns if c not in columns]), r["skipped"]
 
 
-def read_csv(spark: SparkSession, path: Path) -> tuple[DataFrame, dict]:
-    """Rows with too many fields are skipped and counted in the encoding label; short rows are padded with nulls."""
-    encoding = detect_encoding(path)
-    with path.open(encoding=encoding, newline="") as f:
-        header = next(csv.reader(f), [])
-    names = unique_names(header)
-    if not names:
+def csv_facts(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether quotes span lines), from one parallel pass over the lines.
+
+    The encoding is the first of ENCODINGS that decodes every line. Where every line holds an even number of quotes, every line starts outside of them, and a file can be cut at any line.
+    """
+    v = F.col("value")
+    sound = F.is_valid_utf8(v)
+    undefined = F.hex(v.cast("binary")).rlike("^(?:..)*(?:81|8D|8F|90|9D)")
+    quotes = F.octet_length(v) - F.octet_length(F.replace(v, F.lit('"'), F.lit("")))
+    r = spark.read.text(path).agg(F.count_if(~sound).alias("bad"), F.count_if(F.when(~sound, undefined)).alias("undefined"), F.count_if(quotes % 2 == 1).alias("open")).first()
+    if r.bad:
+        return ("latin-1" if r.undefined else "cp1252"), r.open > 0
+    return ("utf-8-sig" if first_bytes(spark, path, 3) == codecs.BOM_UTF8 else "utf-8"), r.open > 0
+
+
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    """Of a file of any file system; nothing of a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.getFileStatus(where).isFile():
+        return b""
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Rows with too many fields are skipped and counted in the encoding label; short rows are padded with nulls. A file is one task only where quotes span lines."""
+    encoding, spans = csv_facts(spark, path)
+    how = {"encoding": SPARK_NAMES[encoding], "quote": '"', "escape": '"', "multiLine": spans}
+    head = spark.read.csv(path, header=False, **how).limit(1).collect()
+    if not head or not len(head[0]):
         return spark.createDataFrame([], "empty string").drop("empty"), {"encoding": encoding}
+    names = unique_names([(x or "").lstrip("\ufeff") for x in head[0]])
     over = "_more_fields"
     schema = StructType([StructField(n, StringType()) for n in [*names, over]])
-    raw = spark.read.csv(str(path), schema=schema, header=False, encoding=SPARK_NAMES[encoding], quote='"', escape='"', multiLine=True, mode="PERMISSIVE", enforceSchema=True)
-    raw = with_row_id(raw)
-    first = raw.agg(F.min(ROW_ID)).first()[0]
-    body = raw.where(F.col(ROW_ID) != (first if first is not None else -1))
-    skipped = body.where(F.col(over).isNotNull()).count()
-    body = body.where(F.col(over).isNull()).drop(over)
-    body = body.select(*[F.when(~F.col(f"`{n}`").isin(NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names], ROW_ID)
+    raw = with_row_id(spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", enforceSchema=True, **how))
+    body = raw.select(*[F.when(~F.col(f"`{n}`").isin(NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names], over, ROW_ID)
+    df, skipped = infer(body, names, F.col(over).isNotNull())
     label = f"{encoding} (skipped {skipped} malformed rows)" if skipped else encoding
-    return infer(body, names), {"encoding": label, "skipped_rows": skipped}
+    return df.drop(over), {"encoding": label, "skipped_rows": skipped}
 
 
 def split_script(text: str) -> list[str]:
@@ -183,11 +211,10 @@ def first_duckdb_table(path: Path) -> str:
     return rows[0][0]
 
 
-def read_json(spark: SparkSession, path: Path) -> DataFrame:
+def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of records or one record per line; columns named like times become timestamps if every value is one."""
-    with path.open(encoding="utf-8-sig") as f:
-        head = f.read(200).lstrip()
-    df = spark.read.json(str(path), multiLine=head.startswith("["))
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    df = spark.read.json(path, multiLine=bool(head) and head[0].value.lstrip("\ufeff \t").startswith("["))
     timed = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and (f.name.lower() in ("date", "modified") or f.name.lower().startswith("timestamp") or f.name.lower().endswith(("_at", "_time")))]
     if timed:
         parsed = {c: F.try_to_timestamp(F.col(f"`{c}`")).cast("timestamp_ntz") for c in timed}
@@ -197,23 +224,26 @@ def read_json(spark: SparkSession, path: Path) -> DataFrame:
 
 
 def load(path: str | Path, spark: SparkSession | None = None) -> tuple[DataFrame, dict]:
-    """(table with ROW_ID, facts). NaN is null, nested columns are JSON text."""
-    path = Path(path)
-    if not path.exists():
-        raise FileNotFoundError(path)
-    suffix = path.suffix.lower()
+    """(table with ROW_ID, facts). NaN is null, nested columns are JSON text. ``path`` may be a file, a folder of such files or, for csv, json and parquet, a URI of any file system Spark knows."""
+    remote, suffix = is_uri(path), suffix_of(path)
+    if not remote:
+        path = Path(path)
+        if not path.exists():
+            raise FileNotFoundError(path)
     if suffix not in SUPPORTED:
         raise UnsupportedFileType(path, SUPPORTED)
+    if remote and suffix not in REMOTE:
+        raise ValueError(f"{path}: only {', '.join(REMOTE)} are read from other file systems")
     spark = spark or get_spark()
     meta: dict = {"path": str(path), "format": suffix.lstrip(".")}
     datasources.register(spark)
     if suffix == ".csv":
-        df, more = read_csv(spark, path)
+        df, more = read_csv(spark, str(path))
         meta |= more
     elif suffix in (".xlsx", ".xlsm"):
         df = spark.read.format("tally_xlsx").load(str(path))
     elif suffix == ".json":
-        df = read_json(spark, path)
+        df = read_json(spark, str(path))
     elif suffix == ".parquet":
         df = spark.read.parquet(str(path))
     elif suffix == ".sql":

@@ -96,10 +96,10 @@ def write_xlsx(path: Path, columns: list[str], rows) -> None:
             f.write(b"</sheetData></worksheet>")
 
 
-def write_table(df: DataFrame, path: str | Path, single_file: bool = True) -> Path:
+def write_table(df: DataFrame, path: str | Path, single_file: bool = False) -> Path:
     """csv, json (one array), parquet or xlsx; any other suffix becomes .csv. Returns the path written.
 
-    With ``single_file=False`` csv, json and parquet become a folder written by all executors. The new file replaces the old one
+    csv, json and parquet become a folder written by all executors, or with ``single_file`` one file written by one task. The new one replaces the old one
     only when it is complete, so a table can be written over the file it is read from.
     """
     target = Path(path)
@@ -120,6 +120,8 @@ def write_table(df: DataFrame, path: str | Path, single_file: bool = True) -> Pa
         out.json(str(part), ignoreNullFields=False)
     if target.is_dir():
         shutil.rmtree(target)
+    elif target.exists() and not single_file:
+        target.unlink()
     if not single_file:
         return Path(shutil.move(part, target))
     files = sorted(part.glob("part-*"))

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from tallyforge.errors import DeleteMatchedNothing, DestructiveStatement, NoBackup, UpdateMatchedNothing
-from tallyforge.operators.dataset import KEEP, DataAsset
+from tallyforge.operators.dataset import KEEP, DataAsset, matches
 from tallyforge.operators.lazy import LargeDataAsset, as_of_join
 from tallyforge.streaming.windows import sessions, windowed_totals
 
@@ -91,3 +91,36 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM totals").collect())) == sorted(map(tuple, windowed_totals(df, "ts", ["kind"], "v").collect()))
     assert sessions(df, "ts", "kind", "2 hours").agg({"events": "sum"}).first()[0] == 60
+
+
+def test_values_of_another_kind_match_nothing(spark):
+    df = spark.createDataFrame([(1, "a", True, datetime(2024, 1, 1)), (2, "b", None, None)], "id int, s string, ok boolean, at timestamp")
+    n = lambda w: df.where(matches(df, w)).count()
+    assert n({"s": 5}) == n({"id": "abc"}) == n({"id": None}) == n({"id": float("nan")}) == n({"id": 2**70}) == n({"id": [1]}) == 0
+    assert n({"id": 1.0}) == n({"id": True}) == n({"ok": 1}) == n({"at": "2024-01-01"}) == n({"at": datetime(2024, 1, 1)}) == 1
+    assert n({"at": "no time"}) == 0
+    a = DataAsset(df)
+    with pytest.raises(UpdateMatchedNothing):
+        a.update({"id": "abc"}, {"s": "x"})
+    e = a.update({"id": 1}, {"id": "one", "new": 2})
+    assert e["before"] == [{"id": 1}] and e["after"] == [{"id": "one", "new": 2}] and {r.id for r in a.df.collect()} == {"one", "2"}
+    assert a.merge(spark.createDataFrame([("one", 1)], "id string, z int"), "id", "full")["rows_after"] == 2
+
+
+@pytest.mark.parametrize("bad", [
+    "SELECT * FROM (SELECT TRANSFORM(s) USING 'echo x' AS (x) FROM data)", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM data", "SELECT * FROM text.`/etc/hostname`",
+    "SELECT (SELECT max(java_method('a', 'b')) FROM data) FROM data", "SELECT * FROM data WHERE s IN (SELECT value FROM text.`/etc/hostname`)", "WITH x AS (SELECT * FROM other) SELECT * FROM x",
+])
+def test_guard_looks_into_every_part(spark, bad):
+    t = LargeDataAsset(spark.createDataFrame([("a", 1)], "s string, n int"))
+    with pytest.raises(DestructiveStatement):
+        t.query(bad)
+    t.close()
+
+
+def test_dialect_leaves_literals_alone(spark):
+    t = LargeDataAsset(spark.createDataFrame([("a", 1)], "s string, n int"))
+    assert t.query("SELECT 'x * EXCLUDE y' AS v FROM data -- quantile_cont(").first().v == "x * EXCLUDE y"
+    r = t.query("""SELECT strftime(TIMESTAMP '2024-05-06 07:08:09', '%Y-%m-%d at %H') AS "t", date_diff('day', DATE '2024-01-01', DATE '2024-01-05') AS d, CAST(n AS TEXT) AS x FROM data""").first()
+    assert (r.t, r.d, r.x) == ("2024-05-06 at 07", 4, "1")
+    t.close()
