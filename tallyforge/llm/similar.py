@@ -64,46 +64,60 @@ class BlockMaxIndex:
         ids, scores = np.full((nq, k), -1, np.int64), np.zeros((nq, k))
         if not self.n or not nq:
             return ids, scores
-        qi, qt, qw = [], [], []
-        for q, r in enumerate(queries):
-            known = [(self.vocabulary[t], v) for t, v in r.items() if t in self.vocabulary]
-            t = np.array([x for x, _ in known], np.int64)
-            w = np.array([v for _, v in known], float) * self.idf[t]
-            norm = np.sqrt((w * w).sum() + sum((v * self.rest) ** 2 for x, v in r.items() if x not in self.vocabulary))
-            qi.append(np.full(len(t), q))
-            qt.append(t)
-            qw.append(w / norm if norm else w)
-        qi, qt, qw = np.concatenate(qi), np.concatenate(qt), np.concatenate(qw)
+        terms, raw, sizes, unknown = [], [], [], []
+        for r in queries:
+            before, extra = len(terms), 0.0
+            for t, v in r.items():
+                i = self.vocabulary.get(t)
+                if i is None:
+                    extra += v * v
+                else:
+                    terms.append(i)
+                    raw.append(v)
+            sizes.append(len(terms) - before)
+            unknown.append(extra)
+        qi, qt = np.repeat(np.arange(nq), sizes), np.array(terms, np.int64)
+        qw = np.array(raw, float) * self.idf[qt]
+        norm = np.sqrt(np.bincount(qi, qw * qw, nq) + np.array(unknown) * self.rest**2)
+        qw /= np.where(norm > 0, norm, 1.0)[qi]
         cells, of = _ranges(self.term_start[qt], self.term_start[qt + 1])
         cq, cw, cb = qi[of], qw[of], self.cell_block[cells]
-        bound = np.bincount(cq * self.n_blocks + cb, cw * self.cell_max[cells], nq * self.n_blocks).reshape(nq, self.n_blocks) * (1 + 1e-6)
+        at = cq * self.n_blocks + cb  # the (query, block) of a cell
+        bound = np.bincount(at, cw * self.cell_max[cells], nq * self.n_blocks).reshape(nq, self.n_blocks) * (1 + 1e-6)
         open_ = (bound >= floor) & (bound > 0)
-        asked = np.flatnonzero(open_.any(axis=1))
-        if len(asked) < nq:  # go on with the queries that may have a result
-            if len(asked):
-                ids[asked], scores[asked] = self.search([queries[q] for q in asked], k, floor, probe)
-            return ids, scores
-        exact = np.zeros((nq, self.n_blocks * BLOCK))
 
-        def score(chosen: np.ndarray) -> None:
-            use = np.flatnonzero(chosen[cq, cb])
+        def score(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Numbers of the chosen (query, block) pairs and the exact scores of their examples, a row each."""
+            pairs = np.flatnonzero(chosen)
+            row = np.full(chosen.size, -1)
+            row[pairs] = np.arange(len(pairs))
+            use = np.flatnonzero(row[at] >= 0)
             posts, c = _ranges(self.cell_start[cells[use]], self.cell_start[cells[use] + 1])
             u = use[c]
-            exact.ravel()[:] += np.bincount(cq[u] * exact.shape[1] + self.post_id[posts], cw[u] * self.post_w[posts], exact.size)
+            return pairs, np.bincount(row[at[u]] * BLOCK + self.post_id[posts] % BLOCK, cw[u] * self.post_w[posts], len(pairs) * BLOCK).reshape(-1, BLOCK)
 
         probe = min(max(probe, -(-kk // BLOCK)), self.n_blocks)
-        top = np.argpartition(-bound, probe - 1, axis=1)[:, :probe]
         chosen = np.zeros(bound.shape, bool)
-        np.put_along_axis(chosen, top, True, axis=1)
-        chosen &= open_
-        score(chosen)
-        least = -np.partition(-exact, kk - 1, axis=1)[:, kk - 1]
+        np.put_along_axis(chosen, np.argpartition(-bound, probe - 1, axis=1)[:, :probe], True, axis=1)
+        pairs, exact = score(chosen)  # as many blocks for every query
+        first = exact.reshape(nq, probe * BLOCK)
+        best = np.argpartition(-first, kk - 1, axis=1)[:, :kk]
+        value = np.take_along_axis(first, best, axis=1)
+        block = (pairs % self.n_blocks).reshape(nq, probe)
+        found = [(np.repeat(np.arange(nq), kk), (np.take_along_axis(block, best // BLOCK, axis=1) * BLOCK + best % BLOCK).ravel(), value.ravel())]
+        least = value.min(axis=1)
         rest = open_ & ~chosen & (bound > least[:, None])
         if rest.any():
-            score(rest)
-        best = np.argpartition(-exact, kk - 1, axis=1)[:, :kk]
-        value = np.take_along_axis(exact, best, axis=1)
-        order = np.lexsort((best, -value), axis=1)
-        best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
-        ids[:, :kk], scores[:, :kk] = np.where((value > 0) & (value >= floor), best, -1), np.where(value >= floor, value, 0.0)
+            pairs, exact = score(rest)
+            q = pairs // self.n_blocks
+            r, c = np.nonzero(exact > least[q][:, None])
+            found.append((q[r], pairs[r] % self.n_blocks * BLOCK + c, exact[r, c]))
+        q, i, v = (np.concatenate(x) for x in zip(*found))
+        use = (v > 0) & (v >= floor)
+        q, i, v = q[use], i[use], v[use]
+        order = np.lexsort((i, -v, q))
+        q, i, v = q[order], i[order], v[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)  # rank within the query
+        use = place < kk
+        ids[q[use], place[use]], scores[q[use], place[use]] = i[use], v[use]
         return ids, scores

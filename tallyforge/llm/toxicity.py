@@ -45,8 +45,10 @@ COMMON_ODDS = 0.02
 #: Part of the verdicts on texts with a toxic segment that say harmless.
 WRONG = 0.05
 THRESHOLD = 0.5
-BATCH = 64
+BATCH = 256
 CACHE = 400_000
+#: Tasks that score the distinct segments; 0: two per core of the cluster.
+SCORE_TASKS = 0
 CATEGORIES = ["abusive", "hateful", "sexual"]
 
 
@@ -66,8 +68,8 @@ def units(text: str | None) -> list[tuple[str, ...]]:
     return [u for s in segments(text) for u in segment_units(s)]
 
 
-def _search(index: BlockMaxIndex, rows: list[tuple[str, ...]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [index.search([features(list(r)) for r in rows[a : a + BATCH]], k, LEAST_SIMILARITY) for a in range(0, len(rows), BATCH)]
+def _search(index: BlockMaxIndex, rows: list[dict[str, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [index.search(rows[a : a + BATCH], k, LEAST_SIMILARITY) for a in range(0, len(rows), BATCH)]
     if not parts:
         return np.zeros((0, k), np.int64), np.zeros((0, k))
     return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
@@ -95,9 +97,10 @@ class Model:
         out = [(0.0, -1, 0.0)] * len(rows)
         if self.toxic_only is None or not self.toxic_only.n:
             return out
-        _, near = _search(self.toxic_only, rows, 1)
+        found = [features(list(r)) for r in rows]
+        _, near = _search(self.toxic_only, found, 1)
         use = np.flatnonzero(near[:, 0] >= LEAST_SIMILARITY)
-        ids, sims = _search(self.every, [rows[i] for i in use], NEIGHBOURS)
+        ids, sims = _search(self.every, [found[i] for i in use], NEIGHBOURS)
         w = np.where(ids >= 0, sims, 0.0) ** POWER * self.weight[ids]
         vote = (w * self.toxic[ids]).sum(1) / (w.sum(1) + DAMPING)
         lead = (w * self.toxic[ids]).argmax(1) if len(ids) else []
@@ -185,7 +188,7 @@ def fit(docs: list[tuple[int, str, float, str]], counts: dict[tuple, int] | None
     n = np.array([len(own[k]) for k in keys], float)
     found = {k: features(list(k)) for k in keys}
     index = BlockMaxIndex(list(found.values()))
-    ids, sims = _search(index, keys, NEIGHBOURS + 6)
+    ids, sims = _search(index, list(found.values()), NEIGHBOURS + 6)
     self_ = ids == np.arange(len(keys))[:, None]
     sims = np.where(ids >= 0, sims, 0.0)
     harmless_near = np.where(self_ | (pos[ids] == n[ids]), 0.0, sims).max(1)
@@ -357,7 +360,7 @@ def score(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 
     key = [F.xxhash64("folded").alias("k1"), F.hash("folded").alias("k2")]  # 96 bits
     # scoring is bound by time, not bytes: the distinct segments are spread over all cores whatever their size
-    distinct = folded.select(F.explode("segments").alias("folded")).distinct().repartition(2 * sc.defaultParallelism, "folded")
+    distinct = folded.select(F.explode("segments").alias("folded")).distinct().repartition(SCORE_TASKS or 2 * sc.defaultParallelism, F.hash("folded"))
     scored = distinct.mapInArrow(run, f"folded string, {kinds}").select(*key, *names)
     pairs = folded.select("row", F.explode("segments").alias("folded")).select("row", *key)
     order = F.struct("vote", "similarity", "segment", "category", "example_doc_id", "example")
