@@ -53,7 +53,7 @@ def written(df: DataFrame) -> DataFrame:
     """As ``materialize``, but as a compressed table in that folder, of which later steps read only the columns they need. Removed when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
