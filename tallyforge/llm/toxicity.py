@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from tallyforge.llm.similar import BlockMaxIndex
 from tallyforge.llm.spelling import features, fold, segments, words
-from tallyforge.session import written
+from tallyforge.session import broadcast_within, written
 
 MAX_LABELLED = 15_000
 NEIGHBOURS = 8
@@ -49,6 +49,8 @@ BATCH = 256
 CACHE = 400_000
 #: Tasks that score the distinct segments; 0: two per core of the cluster.
 SCORE_TASKS = 0
+#: Segments with a vote that are broadcast to the documents, each a row of a few hundred bytes.
+BROADCAST_SEGMENTS = 50_000
 CATEGORIES = ["abusive", "hateful", "sexual"]
 
 
@@ -362,6 +364,8 @@ def score(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     # scoring is bound by time, not bytes: the distinct segments are spread over all cores whatever their size
     distinct = folded.select(F.explode("segments").alias("folded")).distinct().repartition(SCORE_TASKS or 2 * sc.defaultParallelism, F.hash("folded"))
     scored = distinct.mapInArrow(run, f"folded string, {kinds}").select(*key, *names)
+    scored = written(scored)
+    scored = broadcast_within(scored, scored.count(), BROADCAST_SEGMENTS)  # beyond it the pairs are shuffled to it
     pairs = folded.select("row", F.explode("segments").alias("folded")).select("row", *key)
     order = F.struct("vote", "similarity", "segment", "category", "example_doc_id", "example")
     best = pairs.join(scored, ["k1", "k2"]).groupBy("row").agg(F.max(order).alias("x"))

@@ -96,3 +96,14 @@ def test_common_segments():
     pos, neg, held = [np.array(x, float) for x in ([1] * 200 + [10] * 200 + [1] * 20 + [3] * 20, [2] * 200 + [0] * 240, [40] * 200 + [40] * 200 + [1] * 20 + [12] * 20)]
     got = common_segments(pos, neg, held, 97_000, 885, 4_617)
     assert got[:200].all() and not got[200:].any()
+
+
+def test_shuffled_join_of_segments(spark, monkeypatch):
+    from tallyforge.llm import toxicity
+
+    docs = spark.createDataFrame([(i, t, "a") for i, t, _ in corpus(80, 9)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(y), "abusive" if y else "none") for i, _, y in corpus(80, 9)], "doc_id long, toxic int, category string")
+    rows = lambda: sorted(map(str, score(docs, labels).collect()))
+    broadcast = rows()
+    monkeypatch.setattr(toxicity, "BROADCAST_SEGMENTS", 0)
+    assert rows() == broadcast and any("abusive" in r for r in broadcast)
