@@ -285,12 +285,12 @@ def zscore_flags(df: DataFrame, columns: list[str], threshold: float = 3.0) -> D
     Means and deviations are one row per column and go into the plan as literals.
     """
     facts = {r.column_name: r for r in moments(df, columns).collect()} if columns else {}
-    out = df
+    flags = []
     for c in columns:
         m, s = facts[c].mean, facts[c].std
         hit = F.abs(col_num(df, c) - F.lit(m)) / F.lit(s) > threshold if s else F.lit(False)
-        out = out.withColumn(f"z_{c}", F.coalesce(hit, F.lit(False)))
-    return out
+        flags.append(F.coalesce(hit, F.lit(False)).alias(f"z_{c}"))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in {f"z_{x}" for x in columns}], *flags)
 
 
 def anomalies(df: DataFrame, columns: list[str], threshold: float = 3.0, first: int = 50) -> dict:

@@ -20,6 +20,7 @@ from tallyforge.operators import metrics as M
 from tallyforge.operators import quality as Q
 from tallyforge.operators.lazy import LargeDataAsset, as_of_join, check_query, to_spark_dialect
 from tallyforge.plans import training_queries, training_sql
+from tallyforge.reporting.charts import top_products_chart
 from tallyforge.session import shared_folder, table
 from tallyforge.sources.loaders import load
 from tallyforge.sources.writers import write_table
@@ -162,6 +163,11 @@ _product_top("product_top_profit", "profit")
 _product_top("product_bottom_profit", "profit", True)
 
 
+@query("top_products_chart", f", {BY_PRODUCT} SELECT product, revenue FROM g ORDER BY revenue DESC, product LIMIT 10", True)
+def _(s, d):
+    return top_products_chart(fact(s, d), SEM)
+
+
 @query("product_top_discount", f", {BY_PRODUCT} SELECT product, ROUND(avg_discount, 6) AS avg_discount FROM g ORDER BY 2 DESC, 1 LIMIT 10", True)
 def _(s, d):
     g = M.group_totals(fact(s, d), SEM, "product").withColumn("avg_discount", F.round("avg_discount", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.errors import NoTrendData
@@ -34,6 +35,11 @@ class ChartSpec:
         return not self.series
 
 
+def top_products_chart(df: DataFrame, sem: dict[str, str]) -> DataFrame:
+    """(product, revenue): the bars of the ten products with the most revenue, the largest first."""
+    return M.top(M.group_totals(df, sem, "product"), "revenue").select(F.col("key").alias("product"), "revenue")
+
+
 def build_charts(result) -> list[ChartSpec]:
     """kpi_cards, performance_trend, five charts of revenue by category, product_bar, revenue_distribution, boxplot, revenue_vs_profit and correlation_heatmap."""
     from tallyforge.plans.analysis import shown
@@ -57,7 +63,7 @@ def build_charts(result) -> list[ChartSpec]:
     pareto, cut = shown(M.pareto(df, sem).orderBy(F.desc("revenue"), "key")) if result.has("category", "revenue") else ([], "")
     series = [{"name": "Revenue", "x": [r["key"] for r in pareto], "y": [r["revenue"] for r in pareto]}, {"name": "Cumulative %", "x": [r["key"] for r in pareto], "y": [r["cumulative_pct"] for r in pareto]}]
     out.append(ChartSpec("pareto_category", "Revenue Pareto by Category", "pareto", series if pareto else [], c, "Total Revenue / Cumulative %", "Revenue", "SUM", c, cut))
-    top = result.products().get("top_products_by_revenue") or []
+    top = [r.asDict() for r in top_products_chart(df, sem).collect()] if result.has("product", "revenue") else []
     out.append(ChartSpec("product_bar", "Top 10 Products by Revenue", "bar", [{"name": "Revenue", "x": [r["product"] for r in top], "y": [r["revenue"] for r in top]}] if top else [], "Total Revenue", sem.get("product", ""), "Revenue", "SUM", sem.get("product", "")))
     r = sem.get("revenue", "")
     bins = [b.asDict() for b in Q.histogram(df, r).orderBy("bin").collect()] if result.has("revenue") else []

@@ -62,16 +62,15 @@ def infer(df: DataFrame, columns: list[str], skip: Column | None = None) -> tupl
     q = lambda c: F.col(f"`{c}`")
     skip = F.lit(False) if skip is None else skip
     integer, decimal = r"^[+-]?\d{1,18}$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
-    aggs = [F.count_if(skip).alias("skipped")]
-    for i, c in enumerate(columns):
-        v = F.when(~skip, q(c))
-        t = F.trim(v)
-        kind = F.when(t.rlike(integer), 1).when(t.rlike(decimal), 2).when(F.lower(v).isin("true", "false"), 4).when(v.isNotNull(), 8)
-        aggs.append(F.coalesce(F.bit_or(kind), F.lit(0)).alias(f"k{i}"))
-    r = df.agg(*aggs).first()
+    # cells as (position, text), so that the plan doesn't grow with the columns; the last one marks a row left out
+    cells = df.select(F.posexplode(F.array(*[F.when(~skip, q(c)) for c in columns], F.when(skip, F.lit(""))))).where(F.col("col").isNotNull())
+    t = F.trim("col")
+    kind = F.when(t.rlike(integer), 1).when(t.rlike(decimal), 2).when(F.lower("col").isin("true", "false"), 4).otherwise(8)
+    r = {x.pos: x for x in cells.groupBy("pos").agg(F.bit_or(kind).alias("kinds"), F.count(F.lit(1)).alias("n")).collect()}
+    skipped = r[len(columns)].n if len(columns) in r else 0
     out = []
     for i, c in enumerate(columns):
-        kinds, t = r[f"k{i}"], F.trim(q(c))
+        kinds, t = r[i].kinds if i in r else 0, F.trim(q(c))
         word = F.lower(t)
         infinite = F.when(word.rlike(r"^\+?inf"), float("inf")).when(word.rlike("^-inf"), float("-inf"))
         if kinds == 4:
@@ -82,8 +81,8 @@ def infer(df: DataFrame, columns: list[str], skip: Column | None = None) -> tupl
             out.append(F.coalesce(infinite, t.try_cast("double")).alias(c))
         else:
             out.append(q(c))
-    kept = df.where(~F.coalesce(skip, F.lit(False))) if r["skipped"] else df
-    return kept.select(*out, *[q(c) for c in df.columns if c not in columns]), r["skipped"]
+    kept = df.where(~F.coalesce(skip, F.lit(False))) if skipped else df
+    return kept.select(*out, *[q(c) for c in df.columns if c not in columns]), skipped
 
 
 def csv_facts(spark: SparkSession, path: str) -> tuple[str, bool]:

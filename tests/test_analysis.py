@@ -165,7 +165,7 @@ def test_wide_correlation_against_brute_force(spark):
     x[:, 7] = x[:, 3] * 2 + 1
     pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(301)])
     pdf.iloc[::7, 5] = None
-    pdf.iloc[:, 9] = None
+    pdf["c9"] = np.nan
     got = {(r.column_a, r.column_b): r.correlation for r in Q.correlation_matrix(spark.createDataFrame(pdf).repartition(5), list(pdf.columns)).collect()}
     want = pdf.corr()
     assert len(got) == 301 * 301 and abs(got["c3", "c7"] - 1) < 1e-9 and got["c9", "c1"] is None

@@ -19,6 +19,9 @@ CASES = [
     ("5 JAN 2023 09:16:31.5", "utc", "ok", None, "2023-01-05 09:16:31.5", False),
     ("05-Jan-2023 21:00", "us", "ok", None, "2023-01-06 02:00:00", True),
     ("20230105", "us", "ok", None, "2023-01-05 00:00:00", False),
+    ("2023-01-05" + " " * 150 + "10:00 Z", "us", "ok", None, "2023-01-05 10:00:00", False),
+    ("2023-01-05 10:00" + " " * 100_000 + "Z", "us", "ok", None, "2023-01-05 10:00:00", False),
+    ("2023-01-05" + "\u0001" * 25, "us", "invalid", None, None, False),
     ("1672912800", "us", "ok", None, "2023-01-05 10:00:00", False),
     ("1672912800123", "us", "ok", None, "2023-01-05 10:00:00.123", False),
     ("Sun, 24 Jul 2022 23:56:16 -0500", "eu", "ok", None, "2022-07-25 04:56:16", True),

@@ -19,7 +19,22 @@ def test_number(spark):
     assert spark.createDataFrame([(None,)], "t string").select(number(F.col("t"))).first()[0] is None
 
 
+def test_not_a_number_is_no_missing_number(spark):
+    r = spark.createDataFrame([("NaN", "nan")], "a string, b string").select(is_missing(F.col("a")).alias("text"), is_missing(F.col("a"), numeric=True).alias("number"), is_missing(F.col("b"), numeric=True).alias("small"), is_missing(F.lit("n/a"), numeric=True).alias("word")).first()
+    assert (r.text, r.number, r.small, r.word) == (True, False, False, True)
+
+
+def test_long_dates(spark):
+    from tallyforge.functions.dates import parse_date
+
+    long = "2024-01-31 10:00:00." + "1" * 60 + " +02:00"
+    got = spark.createDataFrame([(long,), ("2024-01-31 " + "x" * 50_000,), (None,), ("",)], "t string").select(parse_date(F.col("t")).alias("d")).collect()
+    assert [str(r.d) for r in got] == ["2024-01-31 10:00:00", "None", "None", "None"]
+
+
 def test_strip(spark):
+    odd = "\u3000\u00a0\ufeff\t a\u00a0b \u2009\u200b\r\n"
+    assert spark.createDataFrame([(odd,)], "t string").select(strip(F.col("t"))).first()[0] == "a\u00a0b"
     assert spark.createDataFrame([("  a b \n",)], "t string").select(strip(F.col("t"))).first()[0] == "a b"
 
 
